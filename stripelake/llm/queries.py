@@ -24,5 +24,38 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
+def tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"), tokenizer(), max_len=2048, end_id=1)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_items
+
+    out = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
+def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .huffman import read, write
+
+    blocks, lengths, _ = write(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
+    return read(blocks, lengths).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op2_packing": op2_packing,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_token_file": op7_token_file,
+}
 ORACLES: dict[str, str] = {}
