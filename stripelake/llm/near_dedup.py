@@ -8,9 +8,10 @@ probability for small sets too.  Bands of compressed registers propose candidate
 registers, corrected for chance collisions, drops hopeless ones, and the full shingle sets decide.
 
 No group is expanded into pairs: documents with equal sets first become one class; classes that
-share a band bucket are compared with the bucket's least class (a star); only classes that are still
-in different components of the confirmed links are then compared with each other, in blocks.
-A link inside one component cannot change the result, so none is lost.
+share a band bucket are compared with the bucket's least class (a star); only classes of one area of
+likeness that are still in different components of the confirmed links are then compared with each
+other, in blocks that hold the sets and return links alone, and last the few pairs that share a
+bucket but no area.  A link inside one component cannot change the result, so none is lost.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ MANTISSA = 10
 PROBES = 48
 #: Ids up to this number are broadcast to pick texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Classes of one band bucket are compared in blocks of this size.
-BLOCK = 64
+#: Classes of one area or band bucket are compared in blocks of this size.
+BLOCK = 128
+#: Classes whose estimated similarity to a bucket's least class is at least this lie in one area.
+SIMILAR = 0.5
 
 
 def bands_for(threshold: float) -> tuple[int, int]:
@@ -117,29 +120,43 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFram
     return map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), "text", sign, "id long, n long, h1 long, h2 long, reg binary")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = pairs.limit(BROADCAST_IDS // 2 + 1).count() <= BROADCAST_IDS // 2
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    source = source.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def floor(t: float, n: np.ndarray) -> np.ndarray:
+    """The least estimate with which a pair at similarity t is looked at: four and a half standard deviations below it,
+    for REGISTERS draws from sets of n shingles."""
+    return t - 4.5 * np.sqrt(t * (1 - t) * (1 / REGISTERS + 1 / np.maximum(n, 1)))
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes reach the threshold."""
+    if not len(x) or not len(y):
+        return False
+    at = np.searchsorted(x, y)
+    both = int((x[np.minimum(at, len(x) - 1)] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> Table:
+    """(id, s): the full shingle sets of the given documents.  Few ids are broadcast to pick the texts, more meet them in a shuffle."""
+    ids = ids.distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
 
     def shingle(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column(0), "s": [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), k)]}
 
-    sets = Table(map_batches(source, "text", shingle, "id long, s binary").dropDuplicates(["id"]), "sets", "lz4")
+    return Table(map_batches(source, "text", shingle, "id long, s binary").dropDuplicates(["id"]), "sets", "lz4")
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets reach the threshold."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), id_col, text_col, k)
     joined = pairs.join(sets.df.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.df.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
 
     def decide(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            keep = pa.array([linked(np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64), percent) for x, y in zip(batch.column("sa"), batch.column("sb"))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     links = Table(joined.select("a", "b", "sa", "sb").mapInArrow(decide, "a long, b long"), "links")
     sets.drop()
@@ -160,8 +177,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sig = Table(_signatures(docs, id_col, text_col, k), "signatures").df
     classes = Table(sig.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.first("reg").alias("reg")), "classes").df
     bands, rows = bands_for(percent / 100)
-    sd = (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5
-    least = percent / 100 - 4.5 * sd
+    t = percent / 100
 
     def key(batches):
         for batch in batches:
@@ -173,55 +189,85 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("center")).where("m > 1")
     member = Table(keyed.join(buckets, "key"), "members")
 
-    def likely(batches):
+    def compare(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-            ok = pa.array(estimate(a, b) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            est = estimate(ra, rb)
+            likely = est >= floor(t, np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+            ok = pa.array(likely | (est >= min(SIMILAR, t)))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(likely).filter(ok)], names=["a", "b", "likely"])
 
-    reg = classes.select("rep", "reg")
+    reg = classes.select("rep", "reg", "n")
     star = member.df.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(reg.withColumnsRenamed({"rep": "b", "reg": "rb"}), "b").join(reg.withColumnsRenamed({"rep": "a", "reg": "ra"}), "a")
-    pairs = Table(star.select("a", "b", "ra", "rb").mapInArrow(likely, "a long, b long"), "pairs").df
-    links = _confirm(pairs, docs, id_col, text_col, k, percent)
+    star = star.join(reg.withColumnsRenamed({"rep": "b", "reg": "rb", "n": "nb"}), "b").join(reg.withColumnsRenamed({"rep": "a", "reg": "ra", "n": "na"}), "a")
+    near = Table(star.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(compare, "a long, b long, likely boolean"), "pairs").df
+    links = _confirm(near.where("likely").select("a", "b"), docs, id_col, text_col, k, percent)
     comp = Table(components(links), "components").df
+    area = Table(components(near), "areas").df.withColumnsRenamed({"node": "rep", "component": "area"})
 
-    # Classes of one bucket in different components: every such pair is compared in the first band it shares.
-    placed = member.df.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "m", "center", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    open_ = Table(placed.join(mixed, "key").where("m > 2").join(reg, "rep"), "open").df  # a bucket of two has been decided by its star
+    # Classes of one area (a component of likeness) in different components of links are compared block by block, sets at hand.
+    placed = area.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "area", F.coalesce("component", "rep").alias("comp"))
+    mixed = placed.groupBy("area").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("area", "m")
+    open_ = Table(placed.join(mixed, "area").join(reg, "rep"), "open").df
+    sets = _sets(docs, open_.select(F.col("rep").alias("id")), id_col, text_col, k)
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "center", "reg")
+    dealt = open_.join(sets.df.withColumnRenamed("id", "rep"), "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "reg", "s")
 
-    def across(batch_key, table):
+    def within(unit, table):
+        table = table.combine_chunks()
+        r = np.frombuffer(b"".join(table.column("reg").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+        rep, comp_, own_, n = (table.column(c).to_numpy() for c in ("rep", "comp", "own", "n"))
+        found = [np.frombuffer(x, dtype=U64) for x in table.column("s").to_pylist()]
+        i, j = int(unit[1].as_py()), int(unit[2].as_py())
+        right = np.flatnonzero(own_ == j)
+        low, high = [], []
+        for x in np.flatnonzero(own_ == i):
+            y = right[comp_[right] != comp_[x]]
+            y = y[rep[y] > rep[x]] if i == j else y
+            y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            y = y[estimate(r[y], r[x]) >= floor(t, np.minimum(n[y], n[x]))]
+            for z in y.tolist():
+                if linked(found[x], found[z], percent):
+                    low.append(min(rep[x], rep[z]))
+                    high.append(max(rep[x], rep[z]))
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+    more = Table(dealt.groupBy("area", "i", "j").applyInArrow(within, "a long, b long"), "links").df
+
+    # What is left: classes that share a bucket by chance or by a centre that is like neither.  Each pair counts in its first band.
+    placed = member.df.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(area, "rep", "left").select("key", "m", "center", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("area", "rep").alias("area"))
+    mixed = placed.groupBy("key").agg(F.min("area").alias("lo"), F.max("area").alias("hi")).where("lo <> hi").select("key")
+    open_ = placed.join(mixed, "key").join(reg, "rep")
+    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "area", "center", "n", "reg")
+
+    def across(unit, table):
         table = table.combine_chunks()
         r = np.frombuffer(b"".join(table.column("reg").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        rep, comp_, own_ = (table.column(c).to_numpy() for c in ("rep", "comp", "own"))
-        i, j = int(batch_key[1].as_py()), int(batch_key[2].as_py())
+        rep, comp_, area_, own_, n = (table.column(c).to_numpy() for c in ("rep", "comp", "area", "own", "n"))
+        i, j = int(unit[1].as_py()), int(unit[2].as_py())
         center = int(table.column("center")[0].as_py())
         keys = band_keys(r, bands, rows)
-        here = np.array(batch_key[0].as_py(), dtype=np.int64).view(U64)
-        a_out, b_out = [], []
-        left = np.flatnonzero(own_ == i)
-        right = np.flatnonzero(own_ == j)
-        for x in left:
-            y = right[(rep[right] > rep[x]) if i == j else slice(None)]
-            y = y[(comp_[y] != comp_[x]) & (rep[y] != center)] if rep[x] != center else y[:0]
+        here = np.array(unit[0].as_py(), dtype=np.int64).view(U64)
+        right = np.flatnonzero((own_ == j) & (rep != center))
+        low, high = [], []
+        for x in np.flatnonzero((own_ == i) & (rep != center)):
+            y = right[(area_[right] != area_[x]) & (comp_[right] != comp_[x])]
+            y = y[rep[y] > rep[x]] if i == j else y
+            y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            y = y[estimate(r[y], r[x]) >= floor(t, np.minimum(n[y], n[x]))]
             if len(y):
-                y = y[estimate(r[y], r[x]) >= least]
-            if len(y):
-                same = keys[y] == keys[x]
-                y = y[keys[x][same.argmax(axis=1)] == here]
-                a_out += [int(rep[x])] * len(y)
-                b_out += rep[y].tolist()
-        lo, hi = np.minimum(a_out, b_out).astype(np.int64), np.maximum(a_out, b_out).astype(np.int64)
-        return pa.table({"a": pa.array(lo), "b": pa.array(hi)})
-
-    more = Table(dealt.groupBy("key", "i", "j").applyInArrow(across, "a long, b long"), "pairs").df
-    more_links = _confirm(more, docs, id_col, text_col, k, percent)
-    if more_links.limit(1).count():
-        comp = Table(components(links.unionByName(more_links)), "components").df
+                y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == here]
+                low += np.minimum(rep[y], rep[x]).tolist()
+                high += np.maximum(rep[y], rep[x]).tolist()
+        return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
+
+    rest = Table(dealt.groupBy("key", "i", "j").applyInArrow(across, "a long, b long"), "pairs").df
+    more = more.unionByName(_confirm(rest, docs, id_col, text_col, k, percent))
+    if more.limit(1).count():
+        comp = Table(components(links.unionByName(more)), "components").df
+    sets.drop()
     member.drop()
 
     by_class = classes.select("h1", "h2", "n", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", "n", F.coalesce("component", "rep").alias("component"))
