@@ -52,10 +52,19 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(blocks, lengths).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import held_out, identify, learn
+
+    docs = table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out("doc_id", 4)), "doc_id", "text", "lang")
+    return identify(docs, model).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_file": op7_token_file,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
