@@ -52,6 +52,15 @@ def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(blocks, lengths).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import score_texts
+    from .language import held_out
+
+    docs = table(spark, sf_dir, "documents").withColumn("learn", ~held_out("doc_id", 7))
+    out = score_texts(docs, "learn").withColumn("held_out", ~F.col("learn"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import held_out, identify, learn
 
@@ -65,6 +74,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_file": op7_token_file,
+    "op8_lm_score": op8_lm_score,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
