@@ -37,6 +37,34 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_repeated_lines
+
+    out = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+pairs AS (SELECT doc_id, text, pos, line, lead(line) OVER (PARTITION BY doc_id, text ORDER BY pos) AS next FROM lines),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS copy FROM pairs WHERE next IS NOT NULL),
+hit AS (SELECT doc_id, text, pos FROM firsts WHERE copy > 1),
+gone AS (SELECT doc_id, text, pos FROM hit UNION SELECT doc_id, text, pos + 1 FROM hit),
+marked AS (SELECT l.*, g.pos IS NOT NULL AS removed FROM lines l LEFT JOIN gone g USING (doc_id, text, pos)),
+runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id, text ORDER BY pos), false) AS opens FROM marked)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(removed AS INT)) AS BIGINT) AS n_removed, CAST(sum(CAST(opens AS INT)) AS BIGINT) AS n_runs,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT removed), '')) AS kept_sha256
+FROM runs GROUP BY doc_id, text
+"""
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_items
 
@@ -72,9 +100,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op4_line_dedup": op4_line_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_file": op7_token_file,
     "op8_lm_score": op8_lm_score,
+    "op9_nearest": op9_nearest,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
