@@ -59,6 +59,12 @@ FROM runs GROUP BY doc_id, text
 """
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ann import search
 
@@ -101,6 +107,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html_text": op5_html_text,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_file": op7_token_file,
     "op8_lm_score": op8_lm_score,
