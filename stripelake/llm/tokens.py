@@ -1,10 +1,10 @@
 """Token ids of whole texts with the tokenizers library, each distinct piece of a batch encoded once.
 
-Byte-level BPE never merges over the start of a pre-token, and a space between two characters that
-are not white space always starts one.  A batch is cut at such spaces into chunks; equal chunks are
-found by hash, the distinct ones are encoded together in one call, and their ids are dealt back.
-Spaces next to anything that might be white space in some table (control bytes, multi-byte
-characters beyond U+00BF..U+07FF) are no cuts, so the ids are those of the whole text.
+Byte-level BPE never merges over the start of a pre-token.  A space or line feed between two characters that
+are not white space always starts one, and so does a punctuation mark between an ASCII letter and such a place.  A batch is cut there
+into chunks; equal chunks are found by hash, the distinct ones are encoded together in one call, and
+their ids are dealt back; a bounded cache keeps them for the process's next batches.  Spaces next to anything that might be white space in some table (control
+bytes, characters outside U+0021..U+007E and U+00C0..U+07FF) are no cuts, so the ids are those of the whole text.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ _loaded: dict[str, tuple] = {}
 
 
 def load(path: str):
-    """(tokenizer, table of ids whose token starts with the space's letter), kept by the process."""
+    """(tokenizer, table of ids whose token starts with the space's letter or is the line feed's), kept by the process."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -27,7 +27,7 @@ def load(path: str):
         t = Tokenizer.from_file(path)
         vocab = t.get_vocab()
         starts = np.zeros(max(vocab.values()) + 1, dtype=bool)
-        starts[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
+        starts[[i for token, i in vocab.items() if token.startswith("Ġ") or token == "Ċ"]] = True
         _loaded[path] = (t, starts)
     return _loaded[path]
 
@@ -35,6 +35,48 @@ def load(path: str):
 _PLAIN = np.array([0x21 <= c <= 0x7E for c in range(256)])
 _LEAD2 = np.array([0xC3 <= c <= 0xDF for c in range(256)])
 _TAIL = np.array([0x80 <= c <= 0xBF for c in range(256)])
+_LETTER = np.array([0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A for c in range(256)])
+_MARK = _PLAIN & ~_LETTER & ~np.array([0x30 <= c <= 0x39 for c in range(256)])
+
+
+class _Cache:
+    """Ids of chunks seen by this process, by hash; emptied when it holds ``LIMIT`` chunks."""
+
+    LIMIT = 800_000
+
+    def __init__(self):
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.place = np.zeros(0, dtype=np.int32)  # of each sorted key, its number
+        self.start = np.zeros(0, dtype=np.int64)
+        self.length = np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1; when the cache is full it is emptied first."""
+        if len(self.keys) > self.LIMIT:
+            self.__init__()
+        if not len(self.keys):
+            return np.full(len(keys), -1, dtype=np.int32)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.place[at], np.int32(-1))
+
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Adds chunks; returns the numbers of ``wanted``, all of which are then known."""
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), dtype=np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        number = np.arange(len(self.start), len(self.start) + len(keys), dtype=np.int32)
+        self.start = np.concatenate((self.start, self.used + np.cumsum(lengths) - lengths))
+        self.length = np.concatenate((self.length, lengths.astype(np.int32)))
+        self.used += len(ids)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.place = np.insert(self.keys, at, keys[order]), np.insert(self.place, at, number[order])
+        return self.place[np.searchsorted(self.keys, wanted)]
+
+
+_caches: dict[str, _Cache] = {}
 
 
 def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -48,49 +90,54 @@ def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     ids_at = np.zeros(len(raw) + 1, dtype=np.int64)
     if not len(buf):
         return np.zeros(0, dtype=np.uint32), ids_at
-    p = np.flatnonzero(buf == 0x20)
+    gap = (buf == 0x20) | (buf == 0x0A)
+    p = np.flatnonzero(gap)
     p = p[(p > 0) & (p < len(buf) - 1)]
     ok = (_PLAIN[buf[p + 1]] | _LEAD2[buf[p + 1]]) & (_PLAIN[buf[p - 1]] | (_TAIL[buf[p - 1]] & _LEAD2[buf[np.maximum(p - 2, 0)]]))
     p = p[ok]
     edge = np.zeros(len(buf) + 1, dtype=bool)
     edge[at] = True
     p = p[~edge[p] & ~edge[p + 1]]
-    heads = np.unique(at[:-1][at[1:] > at[:-1]])  # first chunks, which need not start with a space
-    cuts = np.sort(np.concatenate((p, heads)))
+    stop = edge.copy()
+    stop[p] = True
+    q = np.flatnonzero(stop[1:])  # bytes right before a cut or a text's end
+    q = q[_MARK[buf[q]] & ~edge[q]]
+    q = q[_LETTER[buf[q - 1]]]
+    heads = np.unique(at[:-1][at[1:] > at[:-1]])
+    cuts = np.sort(np.concatenate((p, q, heads)))
     ends = np.append(cuts[1:], len(buf))
     is_head = edge[cuts]
+    gaps = np.concatenate(([0], np.cumsum(gap)))
+    alone = is_head | ~gap[cuts] | (gaps[ends] - gaps[cuts + 1] > 0)  # chunks that do not start with their only gap
     h = span_hashes(buf, cuts, ends)
-    h[is_head] = ~h[is_head]  # never equal to an inner chunk
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    head_u = is_head[first]
-    inner = np.flatnonzero(~head_u)
-    lengths = np.zeros(len(first), dtype=np.int64)
-    flat: list[np.ndarray] = []
-    order: list[np.ndarray] = []
-    s, e = cuts[first].tolist(), ends[first].tolist()
-    if len(inner):
-        ids = np.array(tok.encode_batch_fast([b"".join([data[s[u] : e[u]] for u in inner.tolist()]).decode("utf-8")], add_special_tokens=False)[0].ids, dtype=np.uint32)
-        begin = np.flatnonzero(starts_word[ids])
-        if len(begin) != len(inner):
-            raise ValueError("chunks and encoded words differ; the tokenizer is not byte-level BPE with a word-start letter")
-        lengths[inner] = np.diff(np.append(begin, len(ids)))
-        flat.append(ids)
-        order.append(inner)
-    outer = np.flatnonzero(head_u)
-    if len(outer):
-        got = [x.ids for x in tok.encode_batch_fast([data[s[u] : e[u]].decode("utf-8") for u in outer.tolist()], add_special_tokens=False)]
-        lengths[outer] = [len(g) for g in got]
-        flat += [np.array(g, dtype=np.uint32) for g in got]
-        order.append(outer)
-    pool = np.concatenate(flat)
-    placed = np.concatenate(order)
-    offset = np.zeros(len(first), dtype=np.int64)
-    offset[placed] = np.cumsum(lengths[placed]) - lengths[placed]
-    n = lengths[inverse]
+    h[alone] = ~h[alone]  # never equal to the others
+    keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    cache = _caches.setdefault(path, _Cache())
+    got = cache.find(keys)
+    new = np.flatnonzero(got < 0)
+    if len(new):
+        inner, outer = new[~alone[first[new]]], new[alone[first[new]]]
+        s, e = cuts[first].tolist(), ends[first].tolist()
+        lengths, flat, order = [], [], []
+        if len(inner):
+            ids = np.array(tok.encode_batch_fast([b"".join([data[s[u] : e[u]] for u in inner.tolist()]).decode("utf-8")], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            begin = np.flatnonzero(starts_word[ids])
+            if len(begin) != len(inner):
+                raise ValueError("chunks and encoded words differ; the tokenizer is not byte-level BPE with a word-start letter")
+            lengths.append(np.diff(np.append(begin, len(ids))))
+            flat.append(ids)
+            order.append(inner)
+        if len(outer):
+            parts = [x.ids for x in tok.encode_batch_fast([data[s[u] : e[u]].decode("utf-8") for u in outer.tolist()], add_special_tokens=False)]
+            lengths.append(np.array([len(x) for x in parts], dtype=np.int64))
+            flat += [np.array(x, dtype=np.uint32) for x in parts]
+            order.append(outer)
+        got = cache.add(keys[np.concatenate(order)], np.concatenate(lengths), np.concatenate(flat), keys)
+    n = cache.length[got][inverse]
     upto = np.concatenate(([0], np.cumsum(n)))
-    where = np.repeat(offset[inverse] - upto[:-1], n) + np.arange(upto[-1])
+    where = np.repeat(cache.start[got][inverse] - upto[:-1], n) + np.arange(upto[-1])
     ids_at[:] = upto[np.searchsorted(cuts, at)]
-    return pool[where], ids_at
+    return cache.pool[: cache.used][where], ids_at
 
 
 def with_end(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
