@@ -16,7 +16,7 @@ min(l_linenumber) AS lo4, max(l_linenumber) AS hi4, min(l_orderkey) AS lo8, max(
 min(l_linenumber) AS lo4, max(l_linenumber) AS hi4, min(l_orderkey) AS lo8, max(l_orderkey) AS hi8 FROM {lineitem}""",
 )
 R.sql("agg_short", "SELECT sum(x) AS s, avg(x) AS a, min(x) AS lo, max(x) AS hi FROM (SELECT CAST(l_linenumber AS SMALLINT) AS x FROM {lineitem})", "SELECT CAST(sum(x) AS BIGINT) AS s, avg(x) AS a, min(x) AS lo, max(x) AS hi FROM (SELECT CAST(l_linenumber AS SMALLINT) AS x FROM {lineitem})")
-R.sql("agg_date", "SELECT min(CAST(o_orderdate AS DATE)) AS lo, max(CAST(o_orderdate AS DATE)) AS hi FROM {orders}")
+R.sql("agg_date", "SELECT CAST(min(CAST(o_orderdate AS DATE)) AS STRING) AS lo, CAST(max(CAST(o_orderdate AS DATE)) AS STRING) AS hi FROM {orders}", "SELECT CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) AS lo, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS hi FROM {orders}")
 R.sql("agg_timestamp", "SELECT min(ts) AS lo, max(ts) AS hi, count(DISTINCT ts) AS n FROM {events}")
 R.sql("agg_empty_input", "SELECT count(*) AS n, count(l_orderkey) AS c, sum(l_orderkey) AS s, avg(l_orderkey) AS a, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM {lineitem} WHERE l_orderkey < 0", "SELECT count(*) AS n, count(l_orderkey) AS c, CAST(sum(l_orderkey) AS BIGINT) AS s, avg(l_orderkey) AS a, min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM {lineitem} WHERE l_orderkey < 0")
 R.sql("agg_exact_long", "SELECT CAST(sum(CAST(l_orderkey AS DECIMAL(20,0)) * 4611686018427387) AS STRING) AS s FROM {lineitem}", "SELECT CAST(sum(CAST(l_orderkey AS HUGEINT) * 4611686018427387) AS VARCHAR) AS s FROM {lineitem}")

@@ -57,3 +57,12 @@ def _(read, spark):
     from ..operators.skew import salted_join
 
     return salted_join(read("lineitem").select("l_orderkey", "l_returnflag"), read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority"), "l_orderkey", salts=4).groupBy("l_returnflag", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@R.frame("join_co_partitioned", "SELECT o.o_orderpriority, count(*) AS n FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY o.o_orderpriority")
+def _(read, spark):
+    # both sides are dealt once by the join key into the same partitions, so the join itself moves nothing
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    left = read("lineitem").select("l_orderkey").repartition(parts, "l_orderkey")
+    right = read("orders").select("o_orderkey", "o_orderpriority").repartition(parts, "o_orderkey")
+    return left.hint("merge").join(right, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))

@@ -15,7 +15,7 @@ R.sql("scalar_strings", "SELECT p_partkey, length(p_name) AS n, upper(p_name) AS
 R.sql("scalar_md5", "SELECT n_nationkey, md5(n_name) AS m FROM {nation}")
 R.sql("scalar_uuid_from_md5", "SELECT n_nationkey, regexp_replace(md5(n_name), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '$1-$2-$3-$4-$5') AS u FROM {nation}", "SELECT n_nationkey, regexp_replace(md5(n_name), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS u FROM {nation}")
 R.sql("scalar_regex", "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS d, regexp_replace(p_type, '[AEIOU]', '*') AS r FROM {part} WHERE p_name RLIKE '^[a-m]'", "SELECT p_partkey, regexp_extract(p_brand, '([0-9]+)', 1) AS d, regexp_replace(p_type, '[AEIOU]', '*', 'g') AS r FROM {part} WHERE regexp_matches(p_name, '^[a-m]')")
-R.sql("scalar_datetime", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('MONTH', o_orderdate) AS t, o_orderdate + INTERVAL '3' DAY AS later, datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01') AS n FROM {orders}", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS t, o_orderdate + INTERVAL 3 DAY AS later, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS n FROM {orders}")
+R.sql("scalar_datetime", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS STRING) AS d, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('MONTH', o_orderdate) AS t, o_orderdate + INTERVAL '3' DAY AS later, datediff(CAST(o_orderdate AS DATE), DATE '1992-01-01') AS n FROM {orders}", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS d, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS t, o_orderdate + INTERVAL 3 DAY AS later, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS INTEGER) AS n FROM {orders}")
 R.sql("scalar_epoch", "SELECT event_id, CAST(timestamp_seconds(event_id * 60) AS STRING) AS t FROM {events} WHERE event_id < 1000", "SELECT event_id, strftime(make_timestamp(event_id * 60 * 1000000), '%Y-%m-%d %H:%M:%S') AS t FROM {events} WHERE event_id < 1000")
 R.sql("scalar_today", "SELECT count(*) AS n FROM {orders} WHERE CAST(o_orderdate AS DATE) <= current_date AND o_orderdate < current_timestamp")
 R.sql("scalar_arrays", "SELECT n_nationkey, size(array(n_nationkey, n_regionkey)) AS n, array_max(array(n_nationkey, n_regionkey)) AS hi, array(n_nationkey, n_regionkey)[1] AS x FROM {nation}", "SELECT n_nationkey, CAST(len([n_nationkey, n_regionkey]) AS INTEGER) AS n, list_max([n_nationkey, n_regionkey]) AS hi, [n_nationkey, n_regionkey][2] AS x FROM {nation}")
@@ -42,12 +42,12 @@ def _(read, spark):
     return s.crossJoin(F.broadcast(n)).where(g.circles_overlap(a, b)).agg(F.count("*").alias("n"))
 
 
-@R.frame("scalar_infinite_dates", "SELECT count(*) AS n, CAST(max(o_orderdate) AS DATE) AS hi FROM orders")
+@R.frame("scalar_infinite_dates", "SELECT count(*) AS n, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS hi FROM orders")
 def _(read, spark):
     from ..functions import dates as d
 
     mixed = read("orders").select(F.col("o_orderdate").cast("date").alias("x")).unionByName(spark.range(1).select(d.infinity().alias("x")))
-    return mixed.where(d.is_finite("x")).agg(F.count("*").alias("n"), F.max("x").alias("hi"))
+    return mixed.where(d.is_finite("x")).agg(F.count("*").alias("n"), F.max("x").cast("string").alias("hi"))
 
 
 @R.frame("scalar_enum_order", "SELECT o_orderkey FROM orders ORDER BY array_position(['P', 'O', 'F'], o_orderstatus), o_orderkey LIMIT 20")
@@ -55,3 +55,35 @@ def _(read, spark):
     from ..functions.enums import rank
 
     return read("orders").orderBy(rank("o_orderstatus", ["P", "O", "F"]), "o_orderkey").limit(20).select("o_orderkey")
+
+
+@R.frame("function_sql", "SELECT n_nationkey, n_nationkey * 2 + 1 AS x FROM nation")
+def _(read, spark):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION stripelake_odd(x INT) RETURNS INT RETURN x * 2 + 1")
+    return spark.sql("SELECT n_nationkey, stripelake_odd(n_nationkey) AS x FROM {n}", n=read("nation"))
+
+
+@R.frame("function_batched", "SELECT c_custkey, round(c_acctbal * 1.1, 4) AS x FROM customer")
+def _(read, spark):
+    from ..functions.batched import scale
+
+    return read("customer").select("c_custkey", F.round(scale("c_acctbal"), 4).alias("x"))
+
+
+@R.frame("function_table", "SELECT r_regionkey, CAST(unnest(generate_series(0, r_regionkey * 2, 2)) AS INTEGER) AS g FROM region")
+def _(read, spark):
+    from ..functions.batched import Series
+
+    spark.udtf.register("stripelake_series", Series)
+    return spark.sql("SELECT r_regionkey, g FROM {r}, LATERAL stripelake_series(0, r_regionkey * 2, 2)", r=read("region"))
+
+
+@R.frame("scalar_encryption", "SELECT n_nationkey, n_name AS x FROM nation")
+def _(read, spark):
+    key = F.lit("0123456789abcdef")
+    return read("nation").select("n_nationkey", F.aes_decrypt(F.aes_encrypt("n_name", key), key).cast("string").alias("x"))
+
+
+@R.frame("scalar_variant", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def _(read, spark):
+    return read("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))

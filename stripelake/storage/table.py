@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -24,6 +25,7 @@ from .files import Store
 DEFAULTS = {"stripe_row_limit": 150_000, "chunk_group_row_limit": 10_000, "compression": "zstd", "compression_level": 3}
 ROW_LIMITS = (1_000, 100_000_000)
 LEVELS = (1, 19)
+INDEXES = ("btree", "hash", "gin", "gist", "spgist", "rum")
 CODECS = {"none": "uncompressed", "lz4": "lz4_raw", "zstd": "zstd", "pglz": "snappy"}
 #: A stripe is rewritten by vacuum when it is at most so full, or more than so much of it is deleted.
 FILL, DEAD = 0.5, 0.2
@@ -48,6 +50,14 @@ def check_options(options: dict) -> dict:
     return options
 
 
+#: Session settings and what each sets in Spark.
+SETTINGS = {
+    "enable_vectorization": "spark.sql.parquet.enableVectorizedReader",
+    "enable_qual_pushdown": "spark.sql.parquet.filterPushdown",
+    "enable_codegen": "spark.sql.codegen.wholeStage",
+}
+
+
 class Engine:
     """A catalog of tables below one folder; ``settings`` are the defaults of tables created from now on."""
 
@@ -55,10 +65,20 @@ class Engine:
         self.spark, self.store = spark, Store(spark, root)
         self.settings = dict(DEFAULTS)
         self.views: dict[str, Callable[[], DataFrame]] = {}
+        self.dml, self.cache = True, False
 
     def set(self, **options) -> None:
         self.settings |= check_options(options)
 
+    def configure(self, *, enable_dml: bool | None = None, enable_column_cache: bool | None = None, **settings: bool) -> None:
+        """Session settings: enable_dml=False reads without deletion vectors, enable_column_cache keeps what is read in memory, and SETTINGS."""
+        for name, value in settings.items():
+            if name not in SETTINGS:
+                raise TableError(f"unknown setting {name}")
+            self.spark.conf.set(SETTINGS[name], str(value).lower())
+        self.dml = self.dml if enable_dml is None else enable_dml
+        self.cache = self.cache if enable_column_cache is None else enable_column_cache
+
     def tables(self) -> list[str]:
         return [n for n in self.store.folders(self.store.root) if self.store.exists(self.store.at(n, "manifest"))]
 
@@ -211,7 +231,12 @@ class Table:
 
     def read(self, *, row_ids: bool = False, masks: bool = True) -> DataFrame:
         """The rows of this version.  row_ids adds the columns ``_file`` and ``_row``; masks=False also shows deleted rows."""
-        return self._read(self.manifest, row_ids=row_ids, masks=masks)
+        df = self._read(self.manifest, row_ids=row_ids, masks=masks and self.engine.dml)
+        return df.cache() if self.engine.cache else df
+
+    def read_locked(self, condition: Column | str = "true") -> DataFrame:
+        """Rows for a later change.  Versions never conflict with readers and a lost race shows at commit, so no lock is taken."""
+        return self.read().where(condition)
 
     def _read(self, m: dict, files: list[dict] | None = None, *, row_ids: bool = False, masks: bool = True) -> DataFrame:
         files = m["files"] if files is None else files
@@ -257,7 +282,7 @@ class Table:
             writer = writer.options(**{
                 "compression": CODECS[options["compression"]], "maxRecordsPerFile": options["stripe_row_limit"],
                 "parquet.block.row.count.limit": options["chunk_group_row_limit"], "parquet.compression.codec.zstd.level": options["compression_level"],
-            })
+            } | {f"parquet.bloom.filter.enabled#{c['id']}": "true" for c in m["columns"] if any(c["name"] in i["columns"] for i in m.get("indexes", []))})
         else:
             writer = writer.option("compression", "uncompressed")
         writer.parquet(folder)
@@ -423,6 +448,40 @@ class Table:
                 raise TableError(f"{self.name}: duplicate key ({', '.join(keys)})")
             m["unique"] = m["unique"] + [keys]
 
+    def create_index(self, name: str, columns: list[str], method: str = "btree", unique: bool = False) -> None:
+        """Files written from now on get Bloom filters on the columns, besides the minima and maxima that every chunk has; a unique index adds
+        the constraint.  ``reindex`` rewrites the files there are."""
+        if method not in INDEXES:
+            raise TableError(f"index method {method} is not supported")
+        for c in columns:
+            self._column(self.manifest, c)
+        if unique:
+            self.add_unique(columns)
+        with self.change() as m:
+            if any(i["name"] == name for i in m.get("indexes", [])):
+                raise TableError(f"index {name} exists")
+            m["indexes"] = [*m.get("indexes", []), {"name": name, "columns": columns, "method": method}]
+
+    def drop_index(self, name: str) -> None:
+        with self.change() as m:
+            left = [i for i in m.get("indexes", []) if i["name"] != name]
+            if len(left) == len(m.get("indexes", [])):
+                raise TableError(f"no index {name}")
+            m["indexes"] = left
+
+    def reindex(self) -> None:
+        self.vacuum_rewrite()
+
+    def cluster(self, *_):
+        raise TableError("clustering on an index is not supported; append sorted rows")
+
+    def upgrade(self, format_: int = 1) -> None:
+        """Moves the manifest to another format; there is one so far."""
+        if format_ != 1:
+            raise TableError(f"unknown format {format_}")
+        with self.change() as m:
+            m["format"] = format_
+
     def set_options(self, **options) -> None:
         """Options of data written from now on; None keeps one as it is."""
         self._columnar()
@@ -534,6 +593,38 @@ class Table:
         m = self.manifest
         return {"storage": m["storage"], "version": m["version"], "format": m["format"], "method": m["method"], "stripes": len(m["files"]), "rows": sum(f["rows"] for f in m["files"]), "deleted": sum(f["dead"] for f in m["files"]), "bytes": sum(f["bytes"] for f in m["files"]), "masks": len(m["masks"])}
 
+    def analyze(self) -> DataFrame:
+        """(column, nulls, distinct, low, high) of the live rows, in one full pass; distinct is an estimate."""
+        df = self.read()
+        aggs = []
+        for f in self.schema:
+            c, ordered = F.col(f"`{f.name}`"), not isinstance(f.dataType, T.MapType | T.VariantType)
+            low, high = (F.min(c).cast("string"), F.max(c).cast("string")) if ordered else (F.lit(None).cast("string"),) * 2
+            distinct = F.approx_count_distinct(c) if ordered else F.lit(None).cast("long")
+            aggs.append(F.struct(F.lit(f.name).alias("column"), F.count_if(c.isNull()).alias("nulls"), distinct.alias("distinct"), low.alias("low"), high.alias("high")).alias(f"s{len(aggs)}"))
+        row = df.agg(*aggs)
+        return row.select(F.explode(F.array(*row.columns)).alias("s")).select("s.*")
+
+    def report(self) -> dict:
+        """What a verbose vacuum tells: sizes, the compression rate, and chunks by codec."""
+        info = self.storage_info()
+        chunks = self._footers().groupBy("codec").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect() if self.manifest["files"] else []
+        return info | {"average_stripe_rows": info["rows"] / max(1, info["stripes"]), "chunks": {r["codec"]: r["n"] for r in chunks}, "data_bytes": sum(r["bytes"] for r in chunks)}
+
+    def explain(self, columns: list[str], column: str, low=None, high=None) -> dict:
+        """What a scan of ``columns`` with low <= column <= high does: what it reads, what is pushed to it, and what it skips."""
+        df = self.read()
+        if low is not None:
+            df = df.where(F.col(column) >= F.lit(low))
+        if high is not None:
+            df = df.where(F.col(column) <= F.lit(high))
+        plan = df.select(*columns)._jdf.queryExecution().executedPlan().toString()
+        ids = {c["id"]: c["name"] for c in self.manifest["columns"]}
+        schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+        read = sorted({ids[x.split(":")[0]] for part in schemas for x in part.split(",") if x.split(":")[0] in ids})
+        pushed = sorted({x for part in re.findall(r"PushedFilters: \[([^\]]*)\]", plan) for x in part.split(", ") if x})
+        return {"columns": read, "pushed": pushed} | self.prune_report(column, low, high)
+
     def prune_report(self, column: str, low=None, high=None) -> dict:
         """How many chunk groups the range low <= column <= high leaves, by the footers' minima and maxima; a group without them stays."""
         kind = self.schema[column].dataType

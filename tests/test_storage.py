@@ -168,3 +168,27 @@ def test_stream_keeps_view(engine, spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert sorted(map(tuple, v.read().collect())) == [(0, 4, 9), (1, 3, 7), (2, 3, 8)]
+
+
+def test_indexes_and_reports(engine, spark):
+    t = engine.create_as("t", series(spark, 5_000).coalesce(1), chunk_group_row_limit=1000)
+    for bad in (lambda: t.create_index("i", ["a"], "brin"), lambda: t.create_index("i", ["zz"]), t.cluster, lambda: t.drop_index("no"), lambda: t.upgrade(7)):
+        with pytest.raises(TableError):
+            bad()
+    t.create_index("i", ["a"], unique=True)
+    t.reindex()
+    with pytest.raises(TableError):
+        t.insert([(1, 1)])
+    t.drop_index("i")
+    t.upgrade()
+    e = t.explain(["b"], "a", low=4_500)
+    assert e["columns"] == ["a", "b"] and e["chunk_groups"] == 5 and e["removed"] == 4 and any("GreaterThanOrEqual" in x for x in e["pushed"])
+    assert [(r["column"], r["nulls"], r["low"], r["high"]) for r in t.analyze().orderBy("column").collect()] == [("a", 0, "0", "4999"), ("b", 0, "0", "9998")]
+    assert t.report()["chunks"] == {"zstd": 10}
+    t.delete("a < 10")
+    assert t.read_locked("a < 20").count() == 10
+    engine.configure(enable_dml=False, enable_vectorization=True)
+    assert t.read().count() == 5_000
+    engine.configure(enable_dml=True)
+    with pytest.raises(TableError):
+        engine.configure(enable_magic=True)
