@@ -42,6 +42,8 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"
 _WORD = re.compile(r"[a-z0-9]+")
 #: The share of a page's blocks from which a neighbour counts as its copy.
 COPY = 0.8
+#: Pages with shared blocks, up to this number, are broadcast to the second reading; more are joined by a shuffle.
+BROADCAST_PAGES = 100_000
 
 
 def _kind(name: str, attrs: str, inside: bool) -> tuple[bool, bool]:
@@ -186,23 +188,22 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     kind = dict(rows.dtypes)["id"]
     rows = rows.withColumn("key", F.xxhash64("id", "url", "html"))
 
-    def parse(batch: pa.RecordBatch) -> dict:
-        text, lines, marks, host, path = [], [], [], [], []
+    def survey(batch: pa.RecordBatch) -> dict:
+        """What pairing needs: the place, whether blocks are open, and the hashes of all blocks."""
+        open_, marks, host, path = [], [], [], []
         for page, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist()):
             found = blocks(page)
-            main = [t for t, inside in found if inside]
-            text.append("\n".join(main) if main else None)
-            lines.append(None if main else [t for t, _ in found])
+            open_.append(not any(inside for _, inside in found))
             marks.append([xxhash.xxh3_64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _ in found])
             at = place(url)
             host.append(at and at[0])
             path.append(at and at[1])
-        return {"id": batch.column("id"), "url": batch.column("url"), "key": batch.column("key"), "text": text, "lines": lines, "marks": marks, "host": host, "path": path}
+        return {"key": batch.column("key"), "open": open_, "marks": marks, "host": host, "path": path}
 
-    parsed = Table(map_batches(rows, "html", parse, f"id {kind}, url string, key long, text string, lines array<string>, marks array<long>, host string, path string"), "blocks").df
+    parsed = Table(map_batches(rows.select("key", "url", "html"), "html", survey, "key long, open boolean, marks array<long>, host string, path string"), "blocks").df
 
     # Ranks in order of host and path, without gathering a host: range partitions, counted.
-    light = parsed.where("host is not null").select("host", "path", "key", F.col("lines").isNotNull().alias("open")).distinct().repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    light = parsed.where("host is not null").select("host", "path", "key", "open").distinct().repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
 
     def number(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -229,8 +230,19 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(shared, pa.list_(pa.int32())), pa.array([len(o or []) for o in batch.column("own").to_pylist()], pa.int32())], names=["page", "shared", "n"])
 
     aligned = joined.select("page", "own", "theirs").mapInArrow(align, "page long, shared array<int>, n int").where(F.size("shared") < F.col("n") * COPY)
-    drop = aligned.groupBy("page").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")).withColumnRenamed("page", "key")
-    out = parsed.join(drop, "key", "left")
-    kept = F.filter("lines", lambda _, i: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
-    settled = F.when(F.col("lines").isNull(), F.col("text")).when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(F.array_join("lines", "\n"))
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), settled.alias("text"))
+    drop = Table(aligned.groupBy("page").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")).withColumnRenamed("page", "key"), "shared").df
+    few = drop.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+    out = rows.join(F.broadcast(drop) if few else drop, "key", "left").select("id", "url", "html", "shared")
+
+    def extract(batch: pa.RecordBatch) -> dict:
+        text = []
+        for page, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist()):
+            found = blocks(page)
+            main = [t for t, inside in found if inside]
+            if not main:
+                gone = set(shared or ())
+                main = [t for i, (t, _) in enumerate(found) if i not in gone] or [t for t, _ in found]
+            text.append("\n".join(main))
+        return {"id": batch.column("id"), "url": batch.column("url"), "text": text}
+
+    return map_batches(out, "html", extract, f"id {kind}, url string, text string").withColumnsRenamed({"id": id_col, "url": url_col})
