@@ -2,7 +2,9 @@
 
 Two codebooks quantise the two halves of a vector; a pair of centroids is a cell.  A query walks the cells in order of
 summed distance with a heap until it has met enough vectors, and the vectors of those cells are ranked by exact distance.
-Equal vectors are one entry with its least ids, which is all that a result of k rows can hold.
+How many are enough is measured: a bounded number of the queries is answered by brute force over all vectors, and the
+walk is made as long as the wanted recall of those answers takes.  Equal vectors are one entry with its least ids, which
+is all that a result of k rows can hold.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ from .scratch import Table
 
 #: The codebooks are fitted on about so many vectors, those whose id's hash is least.
 SAMPLE = 20_000
-#: A query's walk ends when the cells it has met hold so many entries.
-CANDIDATES = 4_000
-#: Entries of one cell that a task ranks together.
-CELL_BLOCK = 4_096
+#: Queries that are answered by brute force to find the walk's length, those whose id's hash is least; and the recall it aims at.
+TRIALS = 100
+RECALL = 0.97
+#: Entries, and queries, that a task ranks together, about.
+BLOCK = 4_096
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
     """Lloyd's centroids, from distinct points far apart with likelihood (k-means++)."""
+    if not x.shape[1]:
+        return np.zeros((1, 0))
     rng = np.random.RandomState(seed)
     x = np.unique(x, axis=0)
     k = min(k, len(x))
@@ -74,13 +79,13 @@ def _matrix(column, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 10, candidates: int = CANDIDATES, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = 10, candidates: int | None = None, recall: float = RECALL, sample: int = SAMPLE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for every row for which ``queries`` holds, the query's own id left out.
 
     score is the Euclidean distance in double precision; ties go to the smaller id.  A row takes no part when its id or vector is
     null, when the vector is empty, zero, or holds a null or non-finite component, or when its
-    length is not the commonest (of several the least).  A repeated row counts once.  With at most ``candidates`` distinct vectors the
-    result is exact.  Other columns are ignored.
+    length is not the commonest (of several the least).  A repeated row counts once.  A walk ends when its cells hold ``candidates``
+    entries; without that number it is found by TRIALS brute-force answers so that ``recall`` of them is met.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     v = F.col(vec_col).cast("array<double>")
@@ -121,10 +126,8 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
     part = F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(n, 1)))
     taken = entries.df.where(part).select("vec").toArrow().column("vec").combine_chunks()
     x = _matrix(taken if len(taken) else entries.df.limit(1).select("vec").toArrow().column("vec"), dim)
-    size = max(2, min(256, int((4 * n**0.5) ** 0.5)))
+    size = max(2, min(256, int(n**0.5 / 2)))
     books = (kmeans(x[:, :half], size), kmeans(x[:, half:], size))  # a vector of one component has an empty first half
-    if not half:
-        books = (np.zeros((1, 0)), books[1])
     shared = spark.sparkContext.broadcast(books)
 
     def assign(batches):
@@ -139,43 +142,99 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
     sizes = np.zeros(len(books[0]) * len(books[1]), dtype=np.int64)
     for r in index.df.groupBy("cell").count().collect():  # at most 256 * 256 cells
         sizes[r["cell"]] = r["count"]
+    asked = rows.where("q").select("id", "v").distinct()
+    n_asked = asked.count()
+    if candidates is None:
+        candidates = _walk_length(asked, n_asked, index.df, books, sizes, dim, k, recall)
+    candidates = max(candidates, k + 1)  # with the query's own entry, k rows at least
     layout = spark.sparkContext.broadcast(sizes)
+    shards, turns = max(1, -(-n // BLOCK)), max(1, -(-n_asked // BLOCK))
+
+    def shard_of(cell: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            spread = (cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        return ((spread.astype(np.int64) + salt) % shards).astype(np.int32)
 
     def probe(batches):
         one, two = shared.value
         size_ = layout.value
         for batch in batches:
-            m = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), dtype="<f8").reshape(-1, dim) + 0.0
+            m = _queries(batch, dim)
             d1, d2 = distances(m[:, :half], one), distances(m[:, half:], two)
             for i, q in enumerate(batch.column("id").to_pylist()):
-                cells = walk(d1[i], d2[i], size_, candidates)
-                blocks = [(c, s) for c in cells for s in range(-(-int(size_[c]) // CELL_BLOCK))]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in blocks], pa.int64()), pa.array([s for _, s in blocks], pa.int32()), pa.array([q] * len(blocks), pa.int64()), pa.array([m[i].tobytes()] * len(blocks), pa.binary())], names=["cell", "salt", "query", "qvec"])
-
-    probes = rows.where("q").select("id", "v").distinct().mapInArrow(probe, "cell long, salt int, query long, qvec binary")
-
-    def salt(batches):
+                cells = np.array(walk(d1[i], d2[i], size_, candidates), dtype=np.int64)
+                parts = -(-size_[cells] // BLOCK)  # a large cell lies in several shards
+                cell = np.repeat(cells, parts)
+                shard = shard_of(cell, np.arange(len(cell)) - np.repeat(np.cumsum(parts) - parts, parts))
+                order = np.argsort(shard, kind="stable")
+                at, first = np.unique(shard[order], return_index=True)
+                lists = [c.tolist() for c in np.split(cell[order], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([q % turns] * len(at), pa.int32()), pa.array([q] * len(at), pa.int64()), pa.array([m[i].tobytes()] * len(at), pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["shard", "turn", "query", "qvec", "cells"])
+
+    probes = asked.mapInArrow(probe, "shard int, turn int, query long, qvec binary, cells array<long>")
+
+    def deal(batches):
         size_ = layout.value
         for batch in batches:
-            parts = -(-size_[batch.column("cell").to_numpy()] // CELL_BLOCK)
-            yield pa.RecordBatch.from_arrays([batch.column("cell"), pa.array((batch.column("mark").to_numpy() % np.maximum(parts, 1)).astype(np.int32)), batch.column("vec"), batch.column("ids")], names=["cell", "salt", "vec", "ids"])
+            cell = batch.column("cell").to_numpy()
+            salt = batch.column("mark").to_numpy() % np.maximum(-(-size_[cell] // BLOCK), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(cell, salt), pa.int32()), batch.column("cell"), batch.column("vec"), batch.column("ids")], names=["shard", "cell", "vec", "ids"])
 
-    stored = index.df.withColumn("mark", F.pmod(F.xxhash64("vec"), F.lit(1 << 30))).mapInArrow(salt, "cell long, salt int, vec binary, ids array<long>")
+    stored = index.df.withColumn("mark", F.pmod(F.xxhash64("vec"), F.lit(1 << 30))).mapInArrow(deal, "shard int, cell long, vec binary, ids array<long>")
+    stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
 
     def rank(key, left, right):
-        ids, queries_ = left.column("ids").to_pylist(), right.column("query").to_pylist()
+        ids, cell = left.column("ids").to_pylist(), left.column("cell").to_numpy()
         out: list[tuple[int, int, float]] = []
-        if ids and queries_:
-            m, qs = _matrix(left.column("vec").combine_chunks(), dim), _matrix(right.column("qvec").combine_chunks(), dim)
-            for q, x in zip(queries_, qs):
-                d = np.sqrt(((m - x) ** 2).sum(axis=1))
-                near = np.flatnonzero(d <= np.partition(d, k)[k]) if len(d) > k + 1 else np.arange(len(d))
-                found = sorted((d[e], i) for e in near.tolist() for i in ids[e] if i != q)[:k]
-                out += [(q, i, dist) for dist, i in found]
-        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([float(o[2]) for o in out], pa.float64())})
-
-    met = probes.groupBy("cell", "salt")
-    best = stored.groupBy("cell", "salt").cogroup(met).applyInArrow(rank, "query_id long, vec_id long, score double")
+        if ids and right.num_rows:
+            m = _matrix(left.column("vec").combine_chunks(), dim)
+            for q, x, cells in zip(right.column("query").to_pylist(), _matrix(right.column("qvec").combine_chunks(), dim), right.column("cells").to_pylist()):
+                near = np.flatnonzero(np.isin(cell, cells))
+                d = np.sqrt(((m[near] - x) ** 2).sum(axis=1))
+                if len(d) > k + 1:
+                    close = d <= np.partition(d, k)[k]
+                    near, d = near[close], d[close]
+                out += [(q, i, dist) for dist, i in sorted((dist, i) for dist, e in zip(d.tolist(), near.tolist()) for i in ids[e] if i != q)[:k]]
+        return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
+
+    best = stored.groupBy("shard", "turn").cogroup(probes.groupBy("shard", "turn")).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _queries(batch: pa.RecordBatch, dim: int) -> np.ndarray:
+    return np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), dtype="<f8").reshape(-1, dim) + 0.0
+
+
+def _walk_length(asked: DataFrame, n_asked: int, index: DataFrame, books, sizes: np.ndarray, dim: int, k: int, recall: float) -> int:
+    """Entries that walks must meet so that ``recall`` of the true neighbours of the trial queries lie in the cells met."""
+    share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000))
+    trial = asked if n_asked <= TRIALS else asked.where(share < int(1_000_000 * TRIALS / n_asked) + 1)
+    batches = trial.toArrow().combine_chunks().to_batches()
+    if not batches or not batches[0].num_rows:
+        return 1
+    q = _queries(batches[0], dim)
+    shared = index.sparkSession.sparkContext.broadcast(q)
+
+    def brute(batches):
+        for batch in batches:
+            m, cell = _matrix(batch.column("vec"), dim), batch.column("cell").to_numpy()
+            for i, x in enumerate(shared.value):
+                d = ((m - x) ** 2).sum(axis=1)
+                near = np.argpartition(d, min(k, len(d) - 1))[: k + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i)), pa.array(d[near]), pa.array(cell[near])], names=["trial", "d", "cell"])
+
+    found = index.select("vec", "cell").mapInArrow(brute, "trial long, d double, cell long")
+    order = Window.partitionBy("trial").orderBy("d", "cell")
+    true = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("trial", "cell").toPandas()  # k + 1 rows a trial
+    half, need = dim // 2, []
+    d1, d2 = distances(q[:, :half], books[0]), distances(q[:, half:], books[1])
+    for i, cells in true.groupby("trial")["cell"]:
+        wanted, met = set(cells.tolist()), 0
+        per = cells.value_counts().to_dict()
+        for c in walk(d1[i], d2[i], sizes, int(sizes.sum())):
+            met += int(sizes[c])
+            if c in wanted:
+                need += [met] * per[c]
+    return int(np.quantile(need, recall, method="higher"))

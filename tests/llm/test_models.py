@@ -222,7 +222,7 @@ def test_search_is_exact_on_few_vectors(spark):
     rng = np.random.RandomState(6)
     rows = [(i, rng.randn(6).tolist()) for i in range(120)]
     rows += [(200 + i, rows[3][1]) for i in range(30)] + [(300, None), (301, []), (302, [0.0] * 6), (303, [float("nan")] * 6), (304, [1.0, None] * 3), (305, [float("inf")] + [1.0] * 5), (306, [1.0, 2.0]), (None, [1.0] * 6), rows[0]]
-    got = search(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=5).collect()
+    got = search(vectors(spark, rows), F.col("vec_id") % 10 == 0, k=5, candidates=1000).collect()
     want = exact(rows, {i for i, _ in rows if i is not None and i % 10 == 0}, 5)
     found = {}
     for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
@@ -233,11 +233,12 @@ def test_search_is_exact_on_few_vectors(spark):
         assert np.allclose([d for d, _ in found[q]], [d for d, _ in near])
 
 
-def test_search_recall(spark):
+@pytest.mark.parametrize("how", [{}, {"candidates": 600}])
+def test_search_recall(spark, how):
     rng = np.random.RandomState(7)
     centers = rng.randn(20, 8)
     rows = [(i, (centers[i % 20] + 0.4 * rng.randn(8)).tolist()) for i in range(3000)]
-    got = search(vectors(spark, rows), F.col("vec_id") % 100 == 0, candidates=600).collect()
+    got = search(vectors(spark, rows), F.col("vec_id") % 100 == 0, **how).collect()
     want = exact(rows, {i for i in range(0, 3000, 100)}, 10)
     hit = sum(1 for r in got if r["vec_id"] in {j for _, j in want[r["query_id"]]})
     assert hit >= 0.9 * sum(map(len, want.values()))
