@@ -618,7 +618,13 @@ class Table:
             df = df.where(F.col(column) >= F.lit(low))
         if high is not None:
             df = df.where(F.col(column) <= F.lit(high))
-        plan = df.select(*columns)._jdf.queryExecution().executedPlan().toString()
+        whole = "spark.sql.maxMetadataStringLength"
+        before = self.spark.conf.get(whole)
+        self.spark.conf.set(whole, "100000")  # else the plan's text is cut short
+        try:
+            plan = df.select(*columns)._jdf.queryExecution().executedPlan().toString()
+        finally:
+            self.spark.conf.set(whole, before)
         ids = {c["id"]: c["name"] for c in self.manifest["columns"]}
         schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
         read = sorted({ids[x.split(":")[0]] for part in schemas for x in part.split(",") if x.split(":")[0] in ids})
