@@ -83,10 +83,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = mine.join(runs, "_key", "left")
     lines: Column = F.split(F.col(text_col).cast("string"), "\n", -1)
     gone = F.coalesce("_removed", F.array().cast("array<int>"))
-    # The removed line numbers ascend, so a binary search over them is not needed: a map look-up keeps long documents linear.
-    lookup = F.map_from_arrays(gone, gone)
-    kept = F.filter(lines, lambda line, i: lookup[i].isNull())
-    starts = F.size(F.filter(gone, lambda p: lookup[p - 1].isNull()))
+    # Differences of sets of line numbers are hashed, so a long document costs as much a line as a short one.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    kept = F.transform(left, lambda p: lines[p])
+    starts = F.size(F.array_except(F.transform(gone, lambda p: p - 1), gone))
     text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     return out.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
