@@ -163,6 +163,30 @@ def _confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: i
     return links.df
 
 
+def _deal(rows: DataFrame, unit: str, part: str) -> DataFrame:
+    """Deals the rows of each unit with two parts or more to tasks (kind, i, j) such that rows of different parts meet.
+
+    The largest part stands against the rest (kind 0: its block i, side 0, meets block j of the rest, side 1), and the rest against
+    itself (kind 1: blocks i and j), so a unit with one large part and a few strays costs little more than its rows.
+    """
+    sizes = rows.groupBy(unit, part).agg(F.count("*").alias("size")).groupBy(unit).agg(F.max(F.struct("size", part)).alias("top"), F.sum("size").alias("all")).where(F.col("all") > F.col("top.size"))
+    sizes = sizes.select(unit, F.col(f"top.{part}").alias("main"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("na"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("nb"))
+    a, b = (F.pmod(F.xxhash64("rep"), F.col(c)).cast("int") for c in ("na", "nb"))
+    no, yes = F.lit(0), F.lit(1)
+    task = lambda kind, i, j, side: F.struct(kind.alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    main = F.transform(F.sequence(no, F.col("nb") - 1), lambda j: task(no, a, j, no))
+    rest = F.concat(F.transform(F.sequence(no, F.col("na") - 1), lambda i: task(no, i, b, yes)), F.transform(F.sequence(no, F.col("nb") - 1), lambda o: task(yes, F.least(b, o), F.greatest(b, o), b)))
+    return rows.join(sizes, unit).withColumn("t", F.explode(F.when(F.col(part) == F.col("main"), main).otherwise(rest))).select("*", "t.*").drop("t", "main", "na", "nb")
+
+
+def _sides(unit, side: np.ndarray, rep: np.ndarray):
+    """Pairs to look at in one task of _deal: indices of the left rows, and for each a mask of right ones."""
+    kind, i, j = (int(x.as_py()) for x in unit[1:4])
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if kind == 0 else (np.flatnonzero(side == i), np.flatnonzero(side == j))
+    for x in left:
+        yield x, right[rep[right] > rep[x]] if kind == 1 and i == j else right
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: (id_col, n_shingles, component_id, kept).
 
@@ -207,25 +231,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Classes of one area (a component of likeness) in different components of links are compared block by block, sets at hand.
     placed = area.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "area", F.coalesce("component", "rep").alias("comp"))
-    mixed = placed.groupBy("area").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("area", "m")
+    mixed = placed.groupBy("area").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi and m > 2").select("area")
     open_ = Table(placed.join(mixed, "area").join(reg, "rep"), "open").df
     sets = _sets(docs, open_.select(F.col("rep").alias("id")), id_col, text_col, k)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = open_.join(sets.df.withColumnRenamed("id", "rep"), "rep").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "reg", "s")
+    dealt = _deal(open_.join(sets.df.withColumnRenamed("id", "rep"), "rep"), "area", "comp").select("area", "kind", "i", "j", "side", "rep", "comp", "n", "reg", "s")
 
     def within(unit, table):
         table = table.combine_chunks()
         r = np.frombuffer(b"".join(table.column("reg").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        rep, comp_, own_, n = (table.column(c).to_numpy() for c in ("rep", "comp", "own", "n"))
+        rep, comp_, side, n = (table.column(c).to_numpy() for c in ("rep", "comp", "side", "n"))
         found = [np.frombuffer(x, dtype=U64) for x in table.column("s").to_pylist()]
-        i, j = int(unit[1].as_py()), int(unit[2].as_py())
-        right = np.flatnonzero(own_ == j)
         low, high = [], []
-        for x in np.flatnonzero(own_ == i):
-            y = right[comp_[right] != comp_[x]]
-            y = y[rep[y] > rep[x]] if i == j else y
+        for x, y in _sides(unit, side, rep):
+            y = y[comp_[y] != comp_[x]]
             y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
             y = y[estimate(r[y], r[x]) >= floor(t, np.minimum(n[y], n[x]))]
             for z in y.tolist():
@@ -234,27 +252,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     high.append(max(rep[x], rep[z]))
         return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
-    more = Table(dealt.groupBy("area", "i", "j").applyInArrow(within, "a long, b long"), "links").df
+    more = Table(dealt.groupBy("area", "kind", "i", "j").applyInArrow(within, "a long, b long"), "links").df
 
     # What is left: classes that share a bucket by chance or by a centre that is like neither.  Each pair counts in its first band.
-    placed = member.df.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(area, "rep", "left").select("key", "m", "center", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("area", "rep").alias("area"))
+    placed = member.df.where("m > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(area, "rep", "left").select("key", "center", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("area", "rep").alias("area"))
     mixed = placed.groupBy("key").agg(F.min("area").alias("lo"), F.max("area").alias("hi")).where("lo <> hi").select("key")
-    open_ = placed.join(mixed, "key").join(reg, "rep")
-    dealt = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "area", "center", "n", "reg")
+    dealt = _deal(placed.join(mixed, "key").join(reg, "rep"), "key", "area").select("key", "kind", "i", "j", "side", "rep", "comp", "area", "center", "n", "reg")
 
     def across(unit, table):
         table = table.combine_chunks()
         r = np.frombuffer(b"".join(table.column("reg").to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
-        rep, comp_, area_, own_, n = (table.column(c).to_numpy() for c in ("rep", "comp", "area", "own", "n"))
-        i, j = int(unit[1].as_py()), int(unit[2].as_py())
+        rep, comp_, area_, side, n = (table.column(c).to_numpy() for c in ("rep", "comp", "area", "side", "n"))
         center = int(table.column("center")[0].as_py())
         keys = band_keys(r, bands, rows)
         here = np.array(unit[0].as_py(), dtype=np.int64).view(U64)
-        right = np.flatnonzero((own_ == j) & (rep != center))
         low, high = [], []
-        for x in np.flatnonzero((own_ == i) & (rep != center)):
-            y = right[(area_[right] != area_[x]) & (comp_[right] != comp_[x])]
-            y = y[rep[y] > rep[x]] if i == j else y
+        for x, y in _sides(unit, side, rep):
+            if rep[x] == center:  # pairs with the centre have been decided
+                continue
+            y = y[(area_[y] != area_[x]) & (comp_[y] != comp_[x]) & (rep[y] != center)]
             y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
             y = y[estimate(r[y], r[x]) >= floor(t, np.minimum(n[y], n[x]))]
             if len(y):
@@ -263,7 +279,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 high += np.maximum(rep[y], rep[x]).tolist()
         return pa.table({"a": pa.array(low, pa.int64()), "b": pa.array(high, pa.int64())})
 
-    rest = Table(dealt.groupBy("key", "i", "j").applyInArrow(across, "a long, b long"), "pairs").df
+    rest = Table(dealt.groupBy("key", "kind", "i", "j").applyInArrow(across, "a long, b long"), "pairs").df
     more = more.unionByName(_confirm(rest, docs, id_col, text_col, k, percent))
     if more.limit(1).count():
         comp = Table(components(links.unionByName(more)), "components").df
