@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Tuples of one group that are kept in memory; larger groups use queues on disk.
-IN_MEMORY = 200_000
+IN_MEMORY = 50_000
 BLOCK = 50_000
 
 

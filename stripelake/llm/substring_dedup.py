@@ -5,7 +5,8 @@ the same one at the same place, so only anchors whose hash occurs again can lie
 lies its slice, every string that it can be the minimizer of.  Slices equal as a whole settle all their strings
 at once.  The rest, with one of each equal set, are dealt to shards by anchor hash, and each shard
 sorts the suffixes of its slices by induction, carrying common prefixes: a string is repeated when the common prefix with a
-neighbour reaches ``size``.  Texts equal as a whole take part as one text.
+neighbour reaches ``size``.  An anchor with very many different slices would make one task's group too large; its strings are
+instead counted by hash, each place apart, which pre-aggregates and spreads.  Texts equal as a whole take part as one text.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from .text_hash import _BASE, _INV, U64, mix, powers
 SEED = 32
 #: Up to so many anchor keys are broadcast (16 bytes each); more are joined to the anchors.
 BROADCAST_KEYS = 8_000_000
-#: Slices of one shard, about.
+#: Slices of one shard, about; and slices of one anchor from which its strings are counted by hash.
 SHARD = 20_000
+HOT = 100_000
 PAD = 0xFF  # no UTF-8 text holds this byte
 
 
@@ -80,7 +82,7 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace")
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, in_memory: int = IN_MEMORY, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = 200, in_memory: int = IN_MEMORY, hot: int = HOT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per row of the input: (id_col, n_bytes, n_removed, n_spans, kept).
 
     A byte goes when it lies in a string of ``size`` bytes that also starts at another place of any text (UTF-8), judged on the
@@ -94,7 +96,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left = size - SEED
 
     def gather(batches):
-        for batch in cut(batches, "text", 4 << 20):
+        for batch in cut(batches, "text", 2 << 20):
             key = batch.column("k1").to_pylist()
             h, s, t = [], [], []
             for k, x in zip(key, batch.column("text").to_pylist()):
@@ -121,16 +123,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     few = many.df.limit(1_000_001).count() <= 1_000_000
     marked = rows.join(F.broadcast(many.df) if few else many.df, ["k1", "k2"], "left").select("id", "text", "k1", "k2", F.coalesce("copies", F.lit(1)).alias("copies"))
 
-    def judge(a: Anchors, key: int, is_full: np.ndarray, own: np.ndarray, is_open: np.ndarray):
+    def judge(a: Anchors, is_full: np.ndarray, own: np.ndarray, is_open: np.ndarray):
         """(settled spans, anchors to be sorted): of an equal set of slices only the one with the least tag is."""
         s, e = _spans(a.start[is_full], a.end[is_full])
         return s, e, np.flatnonzero(is_open & (~is_full | own))
 
     def emit(batch_rows, looked):
-        """Rows of settled spans (shard -1) and of slices."""
+        """Rows of settled spans (shard -1), of slices of very common anchors (-2), and of other slices."""
         out: dict[str, list] = {c: [] for c in ("shard", "h", "key", "at", "spans", "slice")}
         for (data, key), (a, is_full, own, is_open) in zip(batch_rows, looked):
-            s, e, todo = judge(a, key, is_full, own, is_open)
+            s, e, todo = judge(a, is_full, own, is_open > 0)
             if len(s):
                 out["shard"].append(-1)
                 out["h"].append(0)
@@ -139,7 +141,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out["spans"].append(np.stack((s, e), axis=1).astype("<i8").tobytes())
                 out["slice"].append(None)
             hashes = a.hash[todo]
-            out["shard"] += (hashes % U64(shards)).astype(np.int64).tolist()
+            out["shard"] += np.where(is_open[todo] == 2, -2, (hashes % U64(shards)).astype(np.int64)).tolist()
             out["h"] += hashes.view(np.int64).tolist()
             out["key"] += [key] * len(todo)
             out["at"] += a.at[todo].tolist()
@@ -154,12 +156,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Of equal texts each row makes the same anchors, and equal occurrences have one tag: they count once above and are merged below.
     once = texts.where("copies = 1").select("text", "key").unionByName(texts.where("copies > 1").groupBy("key", "k2").agg(F.first("text").alias("text")).select("text", "key"))
     if n_open + n_full <= broadcast_keys:
-        f, o = full.df.toArrow(), open_.df.select("h").toArrow()
-        shared = spark.sparkContext.broadcast((HashIndex(f.column("s").to_numpy().view(U64)), f.column("t").to_numpy(), HashIndex(o.column("h").to_numpy().view(U64))))
+        f, o = full.df.toArrow(), open_.df.select("h", (F.col("m") > hot).cast("byte").alias("hot")).toArrow()
+        shared = spark.sparkContext.broadcast((HashIndex(f.column("s").to_numpy().view(U64)), f.column("t").to_numpy(), HashIndex(o.column("h").to_numpy().view(U64)), o.column("hot").to_numpy() + np.int8(1)))
         del f, o
 
         def look(batches):
-            settled, least, opened = shared.value
+            settled, least, opened, level = shared.value
             for batch in cut(batches, "text", 2 << 20):
                 pairs = [(_bytes(x), k) for x, k in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist())]
                 looked = []
@@ -168,7 +170,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     at = settled.find(a.slice)
                     is_full = at >= 0
                     own = is_full & (least[at] == _tag(key, a.at).view(np.int64)) if len(least) else is_full
-                    looked.append((a, is_full, own, opened.find(a.hash) >= 0))
+                    found_ = opened.find(a.hash)
+                    looked.append((a, is_full, own, np.where(found_ >= 0, level[found_], 0) if len(level) else np.zeros(len(found_), dtype=np.int8)))
                 yield emit(pairs, looked)
 
         sent = once.mapInArrow(look, schema)
@@ -181,8 +184,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(a.at), pa.int64()), pa.array(range(len(a.at)), pa.int32()), pa.array(a.hash.view(np.int64)), pa.array(a.slice.view(np.int64)), pa.array(_tag(k, a.at).view(np.int64))], names=["key", "nth", "h", "s", "t"])
 
         listed = once.mapInArrow(list_anchors, "key long, nth int, h long, s long, t long")
-        flags = listed.join(full.df.withColumnRenamed("t", "least"), "s", "left").join(open_.df.select("h", F.lit(True).alias("open")), "h", "left")
-        flags = flags.where("least is not null or open").select("key", F.struct("nth", (F.col("least").isNotNull()).alias("full"), F.coalesce(F.col("least") == F.col("t"), F.lit(False)).alias("own"), F.coalesce("open", F.lit(False)).alias("open")).alias("f"))
+        flags = listed.join(full.df.withColumnRenamed("t", "least"), "s", "left").join(open_.df.select("h", F.when(F.col("m") > hot, 2).otherwise(1).alias("open")), "h", "left")
+        flags = flags.where("least is not null or open is not null").select("key", F.struct("nth", (F.col("least").isNotNull()).alias("full"), F.coalesce(F.col("least") == F.col("t"), F.lit(False)).alias("own"), F.coalesce("open", F.lit(0)).alias("open")).alias("f"))
         with_flags = once.join(flags.groupBy("key").agg(F.collect_list("f").alias("f")), "key")
 
         def look_up(batches):
@@ -190,10 +193,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 pairs, looked = [(_bytes(x), k) for x, k in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist())], []
                 for (data, _), flags_ in zip(pairs, batch.column("f").to_pylist()):
                     a = Anchors(data, size)
-                    marks = np.zeros((3, len(a.at)), dtype=bool)
+                    marks = np.zeros((3, len(a.at)), dtype=np.int8)
                     for one in flags_:
                         marks[:, one["nth"]] = one["full"], one["own"], one["open"]
-                    looked.append((a, *marks))
+                    looked.append((a, marks[0] > 0, marks[1] > 0, marks[2]))
                 yield emit(pairs, looked)
 
         sent = with_flags.select("text", "key", "f").mapInArrow(look_up, schema)
@@ -230,7 +233,36 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({"key": pa.array(keys, pa.int64()), "spans": pa.array(spans, pa.binary())})
 
     sorted_ = sent.df.where("shard >= 0").select("shard", "h", "key", "at", "slice").groupBy("shard").applyInArrow(sort_shard, "key long, spans binary")
-    pieces = Table(sent.df.where("shard = -1").select("key", "spans").unionByName(sorted_), "spans")
+
+    def list_strings(batches):
+        """(w, key, first): every string of very common anchors' slices, by a hash of its place in the slice and its bytes."""
+        for batch in cut(batches, "slice", 64 << 10):
+            data = np.frombuffer(b"".join(batch.column("slice").to_pylist()), dtype=np.uint8)
+            m, width = batch.num_rows, left + size
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(data) + 1, dtype=U64)
+                np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, len(data)), out=sums[1:])
+                begin = (np.arange(m)[:, None] * width + np.arange(left + 1)).ravel()
+                own = mix(mix((sums[begin + size] - sums[begin]) * powers(_INV, len(data) + 1)[begin], 3) + np.tile(np.arange(left + 1, dtype=U64), m) * U64(0x9E3779B97F4A7C15), 4)
+            inside = np.flatnonzero((data[begin] != PAD) & (data[begin + size - 1] != PAD))
+            first = np.repeat(batch.column("at").to_numpy(), left + 1) - left + np.tile(np.arange(left + 1), m)
+            yield pa.RecordBatch.from_arrays([pa.array(own[inside].view(np.int64)), pa.array(np.repeat(batch.column("key").to_numpy(), left + 1)[inside]), pa.array(first[inside])], names=["w", "key", "first"])
+
+    strings = sent.df.where("shard = -2").select("key", "at", "slice").mapInArrow(list_strings, "w long, key long, first long")
+    place = F.struct("key", "first")
+    twice = strings.groupBy("w").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("w")
+    counted = strings.join(twice, "w").select("key", "first").distinct()
+
+    def as_spans(batches):
+        for batch in batches:
+            first = batch.column("first").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([np.array([x, x + size], dtype="<i8").tobytes() for x in first.tolist()], pa.binary())], names=["key", "spans"])
+
+    counted = counted.mapInArrow(as_spans, "key long, spans binary")
+    parts = sent.df.where("shard = -1").select("key", "spans").unionByName(sorted_)
+    if sent.df.where("shard = -2").limit(1).count():
+        parts = parts.unionByName(counted)
+    pieces = Table(parts, "spans")
     sent.drop()
     per_text = pieces.df.groupBy("key").agg(F.collect_list("spans").alias("spans"))
     small = pieces.df.agg(F.sum(F.octet_length("spans") + 32)).first()[0] or 0

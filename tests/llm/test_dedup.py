@@ -51,7 +51,7 @@ def test_estimate_is_near_the_truth():
 
 
 @pytest.mark.parametrize("size", [200, 40])
-@pytest.mark.parametrize("limits", [{}, {"in_memory": 3}, {"broadcast_keys": 0}])
+@pytest.mark.parametrize("limits", [{}, {"in_memory": 3}, {"broadcast_keys": 0}, {"hot": 2}, {"hot": 1, "broadcast_keys": 0}])
 def test_drop_repeats(docs, size, limits):
     rows = docs.select("doc_id", "text").collect()
     want = {}
