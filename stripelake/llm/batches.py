@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -24,7 +25,16 @@ def cut(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[
             yield batch.slice(at, n - at)
 
 
-def map_batches(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict | Iterable[dict]], schema: str, limit: int = 4 << 20) -> DataFrame:
+def release() -> None:
+    """Gives freed memory back to the system.  Workers outlive their tasks, and what one keeps another cannot have."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict | Iterable[dict]], schema: str, limit: int = 1 << 20) -> DataFrame:
     """``mapInArrow`` of ``fn`` over slices of at most ``limit`` bytes; ``fn`` returns columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -38,5 +48,6 @@ def map_batches(df: DataFrame, column: str, fn: Callable[[pa.RecordBatch], dict
             out = fn(piece)
             for columns in [out] if isinstance(out, dict) else out:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+        release()
 
     return df.mapInArrow(run, schema)

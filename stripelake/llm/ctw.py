@@ -14,20 +14,22 @@ put together from those.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut, map_batches
+from .batches import cut, map_batches, release
 from .grams import HashIndex, gram_buffer, grams, merge, own_positions, tally
 from .scratch import Table
 from .text_hash import LOWER, SPACE_WORD, span_hashes, words
 
 ORDER = 5
-#: Up to so many n-grams and words are broadcast for scoring (16 bytes each); more are joined.
-BROADCAST_KEYS = 12_000_000
+#: Up to so many n-grams and words are broadcast for scoring (16 bytes each at most); more are joined.
+BROADCAST_KEYS = 8_000_000
+_indexes: dict[str, tuple] = {}
 _HALF = 2 * math.lgamma(0.5)
 
 
@@ -147,7 +149,7 @@ def tallies(docs: DataFrame, order: int) -> DataFrame:
                     keys, n = tally(keys)
                     held[kind].append((keys, n if flag else np.zeros_like(n), n))
                     size[kind] += len(keys)
-                    if size[kind] > 2_000_000:
+                    if size[kind] > 1_000_000:
                         rows(kind)
         for kind in (0, 1):
             if held[kind]:
@@ -157,7 +159,8 @@ def tallies(docs: DataFrame, order: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, kind, dtype=np.int8)), pa.array(keys[lo:hi].view(np.int64)), pa.array(trained[lo:hi].astype(np.int64)), pa.array(n[lo:hi].astype(np.int64))], names=["kind", "key", "trained", "n"])
 
     def by_bytes(batches):
-        yield from count(cut(batches, "text", 4 << 20))
+        yield from count(cut(batches, "text", 1 << 20))
+        release()
 
     return docs.select("text", "learn").mapInArrow(by_bytes, "kind byte, key long, trained long, n long").groupBy("kind", "key").agg(F.sum("trained").alias("trained"), F.sum("n").alias("n"))
 
@@ -218,15 +221,19 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
     n_codes = codes.df.count()
 
     if n_codes + v_words <= broadcast_keys:
-        table = codes.df.toArrow()
-        word = trained_words.toArrow()
-        model = (HashIndex(table.column("key").to_numpy().view(np.uint64)), table.column("score").to_numpy().astype(np.float32), HashIndex(word.column("key").to_numpy().view(np.uint64)), word.column("trained").to_numpy())
-        del table, word
-        shared = spark.sparkContext.broadcast(model)
-        del model
+        pairs = [codes.df.select("key", F.col("score").cast("float").alias("x")).toArrow(), trained_words.select("key", F.col("trained").alias("x")).toArrow()]
+        arrays = [c.to_numpy() for t in pairs for c in (t.column("key"), t.column("x"))]
+        del pairs
+        shared = spark.sparkContext.broadcast(arrays)
+        del arrays
+        mark = uuid.uuid4().hex
 
         def score(batch: pa.RecordBatch) -> dict:
-            index, value, words_, count = shared.value
+            if mark not in _indexes:  # once for each worker process, which then keeps the latest model
+                gram_keys, value, word_keys, count = shared.value
+                _indexes.clear()
+                _indexes[mark] = HashIndex(gram_keys.view(np.uint64)), value, HashIndex(word_keys.view(np.uint64)), count
+            index, value, words_, count = _indexes[mark]
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             buf, at = gram_buffer(texts, order, True)
             each = value[index.find(grams(buf, order)[own_positions(at, order)])].astype(np.float64)
@@ -242,12 +249,12 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
             base = sums[upto[1:]] - sums[upto[:-1]]
             return {"id": batch.column("id"), "learn": batch.column("learn"), "n_bytes": n, "n_tokens": m + 1, "n_known": hits[upto[1:]] - hits[upto[:-1]] + (ends > 0), "train_tokens": np.full(len(n), total, dtype=np.int64), "base_score": base + log_of(ends), "score": by_text}
 
-        out = map_batches(rows, "text", score, "id long, learn boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double", limit=2 << 20)
+        out = map_batches(rows, "text", score, "id long, learn boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double", limit=1 << 20)
     else:
         keyed = rows.withColumn("row", F.monotonically_increasing_id())
 
         def explode(batches):
-            for batch in cut(batches, "text", 2 << 20):
+            for batch in cut(batches, "text", 1 << 20):
                 for r in batch.select(["row", "text"]).to_pylist():
                     text = [_bytes(r["text"])]
                     buf, at = gram_buffer(text, order, True)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut
+from .batches import cut, release
 from .scratch import Table
 from .tokens import encode, load, with_end
 
@@ -144,7 +144,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             return out
 
         size = 0
-        for batch in cut(batches, "text", 2 << 20):
+        for batch in cut(batches, "text", 1 << 20):
             ids, upto = with_end(*encode(batch.column("text").to_pylist(), tokenizer), end_id)
             for i, d in enumerate(batch.column("id").to_pylist()):
                 held.append(ids[upto[i] : upto[i + 1]])
@@ -155,6 +155,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                     size = 0
         if held:
             yield flush()
+        release()
 
     raw = Table(rows.mapInArrow(tokenize, "shard int, block long, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, ids binary"), "token-ids")
 

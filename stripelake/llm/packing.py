@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import cut
+from .batches import cut, release
 from .tokens import encode, with_end
 
 
@@ -49,7 +49,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for batch in cut(batches, "text", 2 << 20):
+        for batch in cut(batches, "text", 1 << 20):
             ids, upto = with_end(*encode(batch.column("text").to_pylist(), tokenizer), end_id)
             n = np.diff(upto)
             doc, start, length = pieces(n, max_len)
@@ -61,6 +61,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 [batch.column("id").take(pa.array(doc)), pa.array(start), pa.array(length), pa.array([data[a : a + 4 * b] for a, b in zip(first.tolist(), length.tolist())], type=pa.binary()), pa.array(n[doc]), pa.array(seq), pa.array(np.zeros(len(doc), dtype=np.int64))],
                 names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
+        release()
 
     out = rows.mapInArrow(run, "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

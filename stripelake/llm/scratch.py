@@ -40,13 +40,22 @@ def drop(spark: SparkSession, *paths: str) -> None:
         _made.pop(path, None)
 
 
+#: Rows of an Arrow batch while an intermediate table is written: whole texts and shingle sets are long rows.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 class Table:
     """A written intermediate table."""
 
     def __init__(self, df: DataFrame, name: str, codec: str = "zstd"):
         self.spark, self.schema = df.sparkSession, df.schema
         self.path = new_path(self.spark, name)
-        df.write.option("compression", codec).parquet(self.path)
+        before = self.spark.conf.get(ARROW_ROWS[0])
+        self.spark.conf.set(*ARROW_ROWS)
+        try:
+            df.write.option("compression", codec).parquet(self.path)
+        finally:
+            self.spark.conf.set(ARROW_ROWS[0], before)
 
     @property
     def df(self) -> DataFrame:

@@ -27,7 +27,7 @@ _cache: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     have = _cache.get(base)
     if have is None or len(have) < n:
-        have = _cache[base] = _powers(base, max(1 << 16, 1 << (n - 1).bit_length() if n > 1 else 1))
+        have = _cache[base] = _powers(base, max(1 << 16, n + n // 4))
     return have[:n]
 
 
