@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import map_batches
-from .grams import HashIndex, gram_buffer, grams, own_positions, tally
+from .batches import map_batches, release
+from .grams import HashIndex, gram_buffer, grams, merge, own_positions, tally
 
 ORDER = 4
 #: Training texts of each language: those whose id's hash is least, about so many.
@@ -33,6 +33,18 @@ def _bytes(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "replace")
 
 
+def _pieces(texts: list[str | None], limit: int = 256 << 10):
+    """The texts' bytes in groups of about ``limit`` bytes, one group at least."""
+    held, size = [], 0
+    for t in texts:
+        held.append(_bytes(t))
+        size += len(held[-1])
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    yield held
+
+
 class PPM:
     """Context trees of several languages, as tables of code lengths in bits."""
 
@@ -41,12 +53,16 @@ class PPM:
         k = len(self.langs)
         seen: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
         for lang in self.langs:
-            buf, at = gram_buffer([_bytes(t) for t in texts[lang]], order, False)
-            keys = grams(buf, order)[own_positions(at, order)]
+            parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
+            for piece in _pieces(texts[lang]):
+                buf, at = gram_buffer(piece, order, False)
+                keys = grams(buf, order)[own_positions(at, order)]
+                for d in range(order + 1):
+                    # the d nearest context bytes and the byte itself
+                    short = keys & np.uint64(0xFF) if d == 0 else ((keys >> np.uint64(8 * (order + 1 - d))) << np.uint64(8)) | (keys & np.uint64(0xFF))
+                    parts[d].append(tally(short))
             for d in range(order + 1):
-                # the d nearest context bytes and the byte itself
-                short = keys & np.uint64(0xFF) if d == 0 else ((keys >> np.uint64(8 * (order + 1 - d))) << np.uint64(8)) | (keys & np.uint64(0xFF))
-                seen[d].append(tally(short))
+                seen[d].append(merge(parts[d]))
         below_index, below = None, None  # costs one order shorter
         self.cost: list[tuple[HashIndex, np.ndarray]] = []
         self.escape: list[tuple[HashIndex, np.ndarray]] = []
@@ -119,7 +135,10 @@ def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample
     if sizes:
         for r in rows.where(small).select("lang", "text").toLocalIterator():
             texts.setdefault(r["lang"], []).append(r["text"])
-    return PPM(texts)
+    model = PPM(texts)
+    texts.clear()
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -147,7 +166,7 @@ def identify(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str
                     pred[i], score[i] = m.langs[best[i]], share[i]
         return {c: batch.column(c) for c in batch.schema.names if c != "_text"} | {"lang_pred": pred, "score": score}
 
-    out = map_batches(rows, "_text", predict, f"{kinds}, lang_pred string, score double", limit=2 << 20)
+    out = map_batches(rows, "_text", predict, f"{kinds}, lang_pred string, score double", limit=512 << 10)
     return out.withColumnRenamed("_id", id_col)
 
 
