@@ -40,26 +40,41 @@ _MARK = _PLAIN & ~_LETTER & ~np.array([0x30 <= c <= 0x39 for c in range(256)])
 
 
 class _Cache:
-    """Ids of chunks seen by this process, by hash; emptied when it holds ``LIMIT`` chunks."""
+    """Ids of chunks seen by this process, by hash; when it holds ``LIMIT`` chunks those met once alone are forgotten."""
 
-    LIMIT = 800_000
+    LIMIT = 600_000
 
     def __init__(self):
         self.keys = np.zeros(0, dtype=np.uint64)
         self.place = np.zeros(0, dtype=np.int32)  # of each sorted key, its number
         self.start = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int32)
+        self.again = np.zeros(0, dtype=bool)  # whether a number was met again
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The number of each key, or -1; when the cache is full it is emptied first."""
+        """The number of each key, or -1."""
         if len(self.keys) > self.LIMIT:
-            self.__init__()
+            self._forget()
         if not len(self.keys):
             return np.full(len(keys), -1, dtype=np.int32)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.place[at], np.int32(-1))
+        got = np.where(self.keys[at] == keys, self.place[at], np.int32(-1))
+        self.again[got[got >= 0]] = True
+        return got
+
+    def _forget(self) -> None:
+        kept = np.flatnonzero(self.again[self.place])
+        if len(kept) > self.LIMIT // 2:
+            kept = kept[:0]
+        keys, old = self.keys[kept], self.place[kept]
+        start, length = self.start[old], self.length[old].astype(np.int64)
+        upto = np.cumsum(length)
+        ids = self.pool[np.repeat(start - (upto - length), length) + np.arange(length.sum())]
+        self.__init__()
+        if len(keys):
+            self.add(keys, length, ids, keys)
 
     def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         """Adds chunks; returns the numbers of ``wanted``, all of which are then known."""
@@ -69,6 +84,7 @@ class _Cache:
         number = np.arange(len(self.start), len(self.start) + len(keys), dtype=np.int32)
         self.start = np.concatenate((self.start, self.used + np.cumsum(lengths) - lengths))
         self.length = np.concatenate((self.length, lengths.astype(np.int32)))
+        self.again = np.concatenate((self.again, np.zeros(len(keys), dtype=bool)))
         self.used += len(ids)
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
