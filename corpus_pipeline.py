@@ -30,17 +30,26 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The documents under neutral column names, and the new name of each column: no column can clash with an operator's."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a recognised language: text that has letters and a language that is likelier than all others together."""
     model = learn(docs, "doc_id", "text", "lang")
-    judged = identify(docs, model, keep=[c for c in docs.columns if c != "doc_id"])
-    return judged.where((F.col("lang_pred") != PENDING) & (F.col("score") >= TRUST)).select(*docs.columns)
+    df, c = numbered(docs)
+    judged = identify(df, model, c["doc_id"], c["text"], keep=[x for x in df.columns if x != c["doc_id"]])
+    return judged.where((F.col("lang_pred") != PENDING) & (F.col("score") >= TRUST)).select(*[F.col(c[n]).alias(n) for n in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes later copies of runs of two or more lines out of texts; documents that consist of such copies go."""
-    out = drop_repeated_lines(docs, min_lines=2).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    df, c = numbered(docs)
+    out = drop_repeated_lines(df, c["doc_id"], c["text"], min_lines=2).where((F.col("n_removed") == 0) | (F.trim(c["text"]) != ""))
+    n_chars = F.when(F.col("n_removed") > 0, F.length(c["text"]).cast("long")).otherwise(F.col(c["n_chars"]))
+    return out.select(*[(n_chars if n == "n_chars" else F.col(c[n])).alias(n) for n in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -149,13 +149,14 @@ def identify(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str
     sum for all languages, 0 for ``und``.  Repeated rows get equal results; a null id is passed on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    text = F.col(text_col).cast("string").alias("_text")
-    rows = docs.select(F.col(id_col).alias("_id"), text, *[F.col(c) for c in keep or []])
+    # A text that is passed on anyway goes to the workers once.
+    given = text_col if text_col in (keep or []) and dict(docs.dtypes)[text_col] == "string" else "_text"
+    rows = docs.select(F.col(id_col).alias("_id"), *[F.col(c) for c in keep or []], *([F.col(text_col).cast("string").alias(given)] if given == "_text" else []))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select("_id", *(keep or [])).schema)
 
     def predict(batch: pa.RecordBatch) -> dict:
         m = shared.value
-        texts = batch.column("_text").to_pylist()
+        texts = batch.column(given).to_pylist()
         pred, score = [PENDING] * len(texts), np.zeros(len(texts))
         if m.langs:
             length = m.lengths(texts)
@@ -166,7 +167,7 @@ def identify(docs: DataFrame, model: PPM, id_col: str = "doc_id", text_col: str
                     pred[i], score[i] = m.langs[best[i]], share[i]
         return {c: batch.column(c) for c in batch.schema.names if c != "_text"} | {"lang_pred": pred, "score": score}
 
-    out = map_batches(rows, "_text", predict, f"{kinds}, lang_pred string, score double", limit=512 << 10)
+    out = map_batches(rows, given, predict, f"{kinds}, lang_pred string, score double", limit=512 << 10)
     return out.withColumnRenamed("_id", id_col)
 
 

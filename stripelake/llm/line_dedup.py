@@ -76,22 +76,26 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     position of the corpus, in order of id (nulls first), hash of the text, and line; the first copy stays, also within one document.
     n_runs counts maximal removed runs, longest_run is the largest power of two such that so many consecutive lines have an earlier
     copy (0: none).  A null text stays null with no lines; an empty text is one empty line; a text that loses
-    all lines becomes empty.  Rows that repeat id and text are one document, and get equal results.  All other columns are passed on.
+    all lines becomes empty.  Rows that repeat id and text are one document, and get equal results.  All other columns are
+    passed on, but for those named like a result, which take its place.
     """
-    mine = docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
-    runs = repeated_runs(docs, id_col, text_col, min_lines=min_lines).select(F.col("key").alias("_key"), F.col("removed").alias("_removed"), F.col("longest").alias("longest_run"))
-    out = mine.join(runs, "_key", "left")
-    lines: Column = F.split(F.col(text_col).cast("string"), "\n", -1)
-    gone = F.coalesce("_removed", F.array().cast("array<int>"))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # neutral names, so that no column can clash
+    given = F.col(names[text_col])
+    mine = docs.toDF(*names.values()).withColumn("key", F.xxhash64(F.col(names[id_col]).cast("long"), given.cast("string")))
+    runs = repeated_runs(docs, id_col, text_col, min_lines=min_lines).select("key", "removed", "longest")
+    out = mine.join(runs, "key", "left")
+    lines: Column = F.split(given.cast("string"), "\n", -1)
+    gone = F.coalesce("removed", F.array().cast("array<int>"))
     # Differences of sets of line numbers are hashed, so a long document costs as much a line as a short one.
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     kept = F.transform(left, lambda p: lines[p])
     starts = F.size(F.array_except(F.transform(gone, lambda p: p - 1), gone))
-    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")).alias("n_lines"),
-        F.size(gone).cast("long").alias("n_removed"),
-        starts.cast("long").alias("n_runs"),
-        F.coalesce("longest_run", F.lit(0).cast("long")).alias("longest_run"),
-    )
+    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(given)
+    results = {
+        "n_lines": F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")),
+        "n_removed": F.size(gone).cast("long"),
+        "n_runs": starts.cast("long"),
+        "longest_run": F.coalesce("longest", F.lit(0).cast("long")),
+    }
+    passed = [text.alias(c) if c == text_col else F.col(names[c]).alias(c) for c in docs.columns if c not in results]
+    return out.select(*passed, *[v.alias(n) for n, v in results.items()])

@@ -89,6 +89,7 @@ def test_drop_repeated_lines(docs, texts, k):
     got = drop_repeated_lines(docs, min_lines=k)
     assert got.columns == docs.columns + ["n_lines", "n_removed", "n_runs", "longest_run"]
     old = dict(rows)
+    assert {r["_key"] for r in got.collect()} == {"7"}
     for r in got.collect():
         gone, text = want.get(r["doc_id"], set()), old[r["doc_id"]]
         lines = [] if text is None else text.split("\n")

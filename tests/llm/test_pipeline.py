@@ -18,6 +18,8 @@ def test_pipeline(spark, texts, tmp_path):
     rows += [(500, "12 34 !!", "en", None, 8), (501, None, None, None, None), rows[7]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     items = [(0, texts[40]), (1, None)]
+    for name in "score lang_pred n_removed n_lines _key key _id _text c0 c1 rep spans items id component_id kept".split():
+        docs = docs.withColumn(name, F.lit("clash"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -30,6 +32,7 @@ def test_pipeline(spark, texts, tmp_path):
 
     two = cp.line_dedup(spark, one, str(tmp_path))
     assert two.columns == docs.columns
+    assert {(r["score"], r["n_removed"], r["_key"]) for r in two.collect()} == {("clash",) * 3}
     gone = brute.repeated_lines(sorted(kept.items()), 2)
     left = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in kept.items()}
     left = {i: t for i, t in left.items() if not gone[i] or t.strip(" ")}
