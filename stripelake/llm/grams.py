@@ -57,12 +57,19 @@ def merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
 class HashIndex:
     """Open addressing over distinct unsigned 64-bit keys; find() gives each query's place among them, or -1."""
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = np.ascontiguousarray(keys, dtype=np.uint64)
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+    def __init__(self, keys: np.ndarray, room: int = 0):
+        """``room``: how many keys there will be in the end, if more are added."""
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.bits = max(4, int(2 * max(len(keys), room)).bit_length())
         self.slots = np.full(1 << self.bits, -1, dtype=np.int32)
-        left = np.arange(len(keys), dtype=np.int32)
-        at = self._home(self.keys)
+        self.add(keys)
+
+    def add(self, keys: np.ndarray) -> None:
+        """More distinct keys, which are not there yet."""
+        old = len(self.keys)
+        self.keys = np.concatenate((self.keys, np.asarray(keys, dtype=np.uint64)))
+        left = np.arange(old, len(self.keys), dtype=np.int32)
+        at = self._home(self.keys[old:])
         while len(left):
             free = self.slots[at] < 0
             self.slots[at[free]] = left[free]  # of several the last stays

@@ -13,6 +13,7 @@ import os
 
 import numpy as np
 
+from .grams import HashIndex
 from .text_hash import span_hashes
 
 _loaded: dict[str, tuple] = {}
@@ -45,51 +46,43 @@ class _Cache:
     LIMIT = 600_000
 
     def __init__(self):
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.place = np.zeros(0, dtype=np.int32)  # of each sorted key, its number
+        self.index = HashIndex(np.zeros(0, dtype=np.uint64), room=2 * self.LIMIT)
         self.start = np.zeros(0, dtype=np.int64)
         self.length = np.zeros(0, dtype=np.int32)
-        self.again = np.zeros(0, dtype=bool)  # whether a number was met again
+        self.again = np.zeros(0, dtype=bool)  # whether a chunk was met again
         self.pool = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each key, or -1."""
-        if len(self.keys) > self.LIMIT:
+        if len(self.start) > self.LIMIT:
             self._forget()
-        if not len(self.keys):
-            return np.full(len(keys), -1, dtype=np.int32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        got = np.where(self.keys[at] == keys, self.place[at], np.int32(-1))
+        got = self.index.find(keys)
         self.again[got[got >= 0]] = True
         return got
 
     def _forget(self) -> None:
-        kept = np.flatnonzero(self.again[self.place])
+        kept = np.flatnonzero(self.again)
         if len(kept) > self.LIMIT // 2:
             kept = kept[:0]
-        keys, old = self.keys[kept], self.place[kept]
-        start, length = self.start[old], self.length[old].astype(np.int64)
+        keys, start, length = self.index.keys[kept], self.start[kept], self.length[kept].astype(np.int64)
         upto = np.cumsum(length)
         ids = self.pool[np.repeat(start - (upto - length), length) + np.arange(length.sum())]
         self.__init__()
-        if len(keys):
-            self.add(keys, length, ids, keys)
+        self.add(keys, length, ids)
 
-    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Adds chunks; returns the numbers of ``wanted``, all of which are then known."""
+    def add(self, keys: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Adds distinct chunks that are not there yet."""
+        if len(self.start) + len(keys) > 2 * self.LIMIT:  # a batch of its own size: a larger table
+            self.index = HashIndex(self.index.keys, room=2 * (len(self.start) + len(keys)))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros(len(self.pool), dtype=np.uint32)))
         self.pool[self.used : self.used + len(ids)] = ids
-        number = np.arange(len(self.start), len(self.start) + len(keys), dtype=np.int32)
         self.start = np.concatenate((self.start, self.used + np.cumsum(lengths) - lengths))
         self.length = np.concatenate((self.length, lengths.astype(np.int32)))
         self.again = np.concatenate((self.again, np.zeros(len(keys), dtype=bool)))
         self.used += len(ids)
-        order = np.argsort(keys)
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys, self.place = np.insert(self.keys, at, keys[order]), np.insert(self.place, at, number[order])
-        return self.place[np.searchsorted(self.keys, wanted)]
+        self.index.add(keys)
 
 
 _caches: dict[str, _Cache] = {}
@@ -127,31 +120,30 @@ def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     alone = is_head | ~gap[cuts] | (gaps[ends] - gaps[cuts + 1] > 0)  # chunks that do not start with their only gap
     h = span_hashes(buf, cuts, ends)
     h[alone] = ~h[alone]  # never equal to the others
-    keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
     cache = _caches.setdefault(path, _Cache())
-    got = cache.find(keys)
-    new = np.flatnonzero(got < 0)
-    if len(new):
-        inner, outer = new[~alone[first[new]]], new[alone[first[new]]]
-        s, e = cuts[first].tolist(), ends[first].tolist()
-        lengths, flat, order = [], [], []
+    got = cache.find(h)
+    missing = np.flatnonzero(got < 0)
+    if len(missing):
+        new = missing[np.unique(h[missing], return_index=True)[1]]
+        inner, outer = new[~alone[new]], new[alone[new]]
+        lengths, flat = [], []
         if len(inner):
-            ids = np.array(tok.encode_batch_fast([b"".join([data[s[u] : e[u]] for u in inner.tolist()]).decode("utf-8")], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            parts = [data[a:b] for a, b in zip(cuts[inner].tolist(), ends[inner].tolist())]
+            ids = np.array(tok.encode_batch_fast([b"".join(parts).decode("utf-8")], add_special_tokens=False)[0].ids, dtype=np.uint32)
             begin = np.flatnonzero(starts_word[ids])
             if len(begin) != len(inner):
                 raise ValueError("chunks and encoded words differ; the tokenizer is not byte-level BPE with a word-start letter")
             lengths.append(np.diff(np.append(begin, len(ids))))
             flat.append(ids)
-            order.append(inner)
         if len(outer):
-            parts = [x.ids for x in tok.encode_batch_fast([data[s[u] : e[u]].decode("utf-8") for u in outer.tolist()], add_special_tokens=False)]
+            parts = [x.ids for x in tok.encode_batch_fast([data[a:b].decode("utf-8") for a, b in zip(cuts[outer].tolist(), ends[outer].tolist())], add_special_tokens=False)]
             lengths.append(np.array([len(x) for x in parts], dtype=np.int64))
             flat += [np.array(x, dtype=np.uint32) for x in parts]
-            order.append(outer)
-        got = cache.add(keys[np.concatenate(order)], np.concatenate(lengths), np.concatenate(flat), keys)
-    n = cache.length[got][inverse]
+        cache.add(h[np.concatenate((inner, outer))], np.concatenate(lengths), np.concatenate(flat))
+        got[missing] = cache.index.find(h[missing])
+    n = cache.length[got].astype(np.int64)
     upto = np.concatenate(([0], np.cumsum(n)))
-    where = np.repeat(cache.start[got][inverse] - upto[:-1], n) + np.arange(upto[-1])
+    where = np.repeat(cache.start[got] - upto[:-1], n) + np.arange(upto[-1])
     ids_at[:] = upto[np.searchsorted(cuts, at)]
     return cache.pool[: cache.used][where], ids_at
 
