@@ -16,6 +16,8 @@ import numpy as np
 from .grams import HashIndex
 from .text_hash import span_hashes
 
+#: Bytes of new chunks that are encoded in one call, about.
+PIECE = 64 << 10
 _loaded: dict[str, tuple] = {}
 
 
@@ -128,8 +130,11 @@ def encode(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
         inner, outer = new[~alone[new]], new[alone[new]]
         lengths, flat = [], []
         if len(inner):
-            parts = [data[a:b] for a, b in zip(cuts[inner].tolist(), ends[inner].tolist())]
-            ids = np.array(tok.encode_batch_fast([b"".join(parts).decode("utf-8")], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            parts, size = [data[a:b] for a, b in zip(cuts[inner].tolist(), ends[inner].tolist())], ends[inner] - cuts[inner]
+            turn = np.cumsum(size) // PIECE  # an encoding keeps much more than its ids, so few are alive at once
+            bounds = np.append(np.flatnonzero(np.diff(turn, prepend=-1)), len(parts)).tolist()
+            joined = (b"".join(parts[a:b]).decode("utf-8") for a, b in zip(bounds[:-1], bounds[1:]))
+            ids = np.concatenate([np.array(tok.encode_batch_fast([t], add_special_tokens=False)[0].ids, dtype=np.uint32) for t in joined])
             begin = np.flatnonzero(starts_word[ids])
             if len(begin) != len(inner):
                 raise ValueError("chunks and encoded words differ; the tokenizer is not byte-level BPE with a word-start letter")
