@@ -23,7 +23,7 @@ def _first_of(named: DataFrame) -> DataFrame:
     return named.join(first, "name").select("doc", "key", "pos", "name", (own != F.col("first")).alias("later"))
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2, lone_bytes: int | None = None) -> DataFrame:
     """One row per document with a line to remove: (doc, key, removed, longest).
 
     key is the hash of id and text, removed the line numbers, longest the largest power of two such that a run of so many
@@ -31,8 +31,10 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    ids = F.transform(F.split(F.col(text_col).cast("string"), "\n", -1), lambda line: F.xxhash64(line))
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("key"), F.posexplode(ids).alias("pos", "name"))
+    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
+    place = [F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("key")]
+    there = docs.where(F.col(text_col).isNotNull())
+    lines = there.select(*place, F.posexplode(F.transform(parts, lambda line: F.xxhash64(line))).alias("pos", "name"))
     level = Table(_first_of(lines.distinct()), "lines")
     removed: list[Table] = []
     depth = 1
@@ -58,22 +60,31 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             after.drop()
             break
         level = after
-    if hit is None:  # no interval is as deep as min_lines
+    lone = None
+    if lone_bytes is not None:  # copies of a long line are all long, so they meet without the others
+        sized = F.transform(parts, lambda line: F.struct(F.xxhash64(line).alias("name"), F.octet_length(line).alias("size")))
+        long = there.select(*place, F.posexplode(sized).alias("pos", "line")).where(F.col("line.size") >= lone_bytes)
+        lone = _first_of(long.select("doc", "key", "pos", "line.name").distinct()).where("later").select("doc", "key", "pos")
+    if hit is None and lone is None:  # no interval is as deep as min_lines
         return removed[0].df.where("false").select("doc", "key", F.array("pos").alias("removed"), F.lit(0).cast("long").alias("longest"))
     reach = None
     for h, t in enumerate(removed):
         part = t.df.where("later").groupBy("doc", "key").agg(F.lit(1 << h).cast("long").alias("longest"))
         reach = part if reach is None else reach.unionByName(part)
-    covered = hit.df.select("doc", "key", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
+    covered = lone
+    if hit is not None:
+        runs = hit.df.select("doc", "key", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
+        covered = runs if lone is None else runs.unionByName(lone)
     spans = covered.groupBy("doc", "key").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     return spans.join(reach.groupBy("key").agg(F.max("longest").alias("longest")), "key", "left")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2, lone_bytes: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the lines of later copies taken out of the text, and (n_lines, n_removed, n_runs, longest_run).
 
     A line goes when it lies in ``min_lines`` consecutive lines (parted by line feeds) that also start at an earlier
     position of the corpus, in order of id (nulls first), hash of the text, and line; the first copy stays, also within one document.
+    With ``lone_bytes`` a line of at least so many UTF-8 bytes also goes alone, whatever stands next to it.
     n_runs counts maximal removed runs, longest_run is the largest power of two such that so many consecutive lines have an earlier
     copy (0: none).  A null text stays null with no lines; an empty text is one empty line; a text that loses
     all lines becomes empty.  Rows that repeat id and text are one document, and get equal results.  All other columns are
@@ -82,7 +93,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # neutral names, so that no column can clash
     given = F.col(names[text_col])
     mine = docs.toDF(*names.values()).withColumn("key", F.xxhash64(F.col(names[id_col]).cast("long"), given.cast("string")))
-    runs = repeated_runs(docs, id_col, text_col, min_lines=min_lines).select("key", "removed", "longest")
+    runs = repeated_runs(docs, id_col, text_col, min_lines=min_lines, lone_bytes=lone_bytes).select("key", "removed", "longest")
     out = mine.join(runs, "key", "left")
     lines: Column = F.split(given.cast("string"), "\n", -1)
     gone = F.coalesce("removed", F.array().cast("array<int>"))

@@ -112,3 +112,36 @@ def test_one_document(spark):
     assert drop_repeated_lines(one).select("n_removed").collect() == [(0,)]
     nothing = one.withColumn("text", F.lit(None).cast("string"))
     assert drop_repeated_lines(nothing).select("n_lines", "text").collect() == [(0, None)]
+
+
+def test_lone_lines(spark):
+    """A long line goes without a neighbour that repeats, also as a whole document; a short one stays."""
+    long, bytes_ = "é" * 20, 40
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, f"{'é' * 19}x"), (5, "x\na"), (6, f"{'é' * 19}x\ne\n{long}"), (7, None)]
+    got = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), lone_bytes=bytes_)
+    want = {**dict(rows), 2: "c\nd", 3: "", 6: f"{'é' * 19}x\ne"}  # 39 bytes are too few
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    assert {r["doc_id"]: (r["n_removed"], r["n_runs"], r["longest_run"]) for r in got.where("n_removed > 0").collect()} == {i: (1, 1, 1) for i in (2, 3, 6)}
+
+
+def test_lone_lines_and_runs(docs):
+    rows = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").distinct().collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    pairs, single = brute.repeated_lines(rows, 2), brute.repeated_lines(rows, 1)
+    texts = {i: t.split("\n") for i, t in rows if t is not None}
+    want = {i: pairs[i] | {p for p in single[i] if len(lines[p].encode()) >= 100} for i, lines in texts.items()}
+    assert any(want[i] - pairs[i] for i in want)
+    got = {r["doc_id"]: (r["n_removed"], r["text"]) for r in drop_repeated_lines(docs, lone_bytes=100).where("text is not null").collect()}
+    assert got == {i: (len(gone), "\n".join(x for p, x in enumerate(texts[i]) if p not in gone)) for i, gone in want.items()}
+
+
+def test_lone_lines_query(spark):
+    import duckdb
+
+    from stripelake.llm import queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.execute(queries.ORACLES["op4_line_dedup_lone"]).fetchall()
+    got = [tuple(r) for r in queries.QUERIES["op4_line_dedup_lone"](spark, "/root/testdata/sf0.01").where("n_lines > 0").collect()]
+    assert sorted(got) == sorted(want)
+    assert sum(r[2] for r in want) > sum(r[2] for r in con.execute(queries.OP4_SQL).fetchall())
