@@ -4,8 +4,9 @@ A page is read into blocks in order.  Blocks inside menus, headers, footers, sid
 reader comments and the like are template by their markup.  Blocks of a declared main element
 (article, main, role=main) are text by theirs.  What markup leaves open, the blocks of pages without a
 main element, is settled by differencing: pages of one host are ordered by URL path, each is aligned
-with its nearest pages by longest common subsequence of blocks, and shared blocks are deleted.  A neighbour that
-is a copy of the page says nothing about templates and is passed over.
+with its nearest pages by longest common subsequence of blocks, and shared blocks are deleted.  Copies say nothing
+about templates: pages of a host with equal blocks are one page, at the first of their paths.  What is shared with a
+neighbour that is almost a copy may be text of both or a large template, so it goes only if a second neighbour shares it.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ PARAGRAPH_ENDS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol dl table section artic
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
-#: The share of a page's blocks from which a neighbour counts as its copy.
+#: The share of a page's blocks from which a neighbour counts as almost its copy.
 COPY = 0.8
 #: Pages with shared blocks, up to this number, are broadcast to the second reading; more are joined by a shuffle.
 BROADCAST_PAGES = 100_000
@@ -200,10 +201,12 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             path.append(at and at[1])
         return {"key": batch.column("key"), "open": open_, "marks": marks, "host": host, "path": path}
 
-    parsed = Table(map_batches(rows.select("key", "url", "html"), "html", survey, "key long, open boolean, marks array<long>, host string, path string"), "blocks").df
+    found = Table(map_batches(rows.select("key", "url", "html"), "html", survey, "key long, open boolean, marks array<long>, host string, path string"), "blocks").df
+    parsed = found.where("host is not null").withColumn("page", F.xxhash64("host", "marks"))
 
     # Ranks in order of host and path, without gathering a host: range partitions, counted.
-    light = parsed.where("host is not null").select("host", "path", "key", "open").distinct().repartitionByRange("host", "path", "key").sortWithinPartitions("host", "path", "key")
+    light = parsed.groupBy("host", "page").agg(F.min("path").alias("path"), F.bool_or("open").alias("open")).select("host", "path", "page", "open")
+    light = light.repartitionByRange("host", "path", "page").sortWithinPartitions("host", "path", "page")
 
     def number(batches):
         part, at = TaskContext.get().partitionId(), 0
@@ -211,26 +214,29 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * batch.num_rows, pa.int32()), pa.array(range(at, at + batch.num_rows), pa.int64())], names=[*batch.schema.names, "part", "nth"])
             at += batch.num_rows
 
-    numbered = Table(light.mapInArrow(number, "host string, path string, key long, open boolean, part int, nth long"), "ranks").df
+    numbered = Table(light.mapInArrow(number, "host string, path string, page long, open boolean, part int, nth long"), "ranks").df
     sizes = {r["part"]: r["n"] for r in numbered.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row a partition
     base, total = {}, 0
     for part in sorted(sizes):
         base[part] = total
         total += sizes[part]
     offsets = pages.sparkSession.createDataFrame(sorted(base.items()), "part int, base long")
-    ranked = numbered.join(F.broadcast(offsets), "part").select("host", "key", "open", (F.col("base") + F.col("nth")).alias("rank"))
-    want = ranked.where("open").select("host", F.col("key").alias("page"), F.explode(F.array(*[F.col("rank") + d for d in (-2, -1, 1, 2)])).alias("rank"), F.col("rank").alias("own"))
-    pairs = want.join(ranked.select("host", "rank", F.col("key").alias("near")), ["host", "rank"]).select("page", "near", F.abs(F.col("rank") - F.col("own")).alias("far"))
-    marks = parsed.select("key", "marks").dropDuplicates(["key"])
-    joined = pairs.join(marks.withColumnsRenamed({"key": "near", "marks": "theirs"}), "near").join(marks.withColumnsRenamed({"key": "page", "marks": "own"}), "page")
+    ranked = numbered.join(F.broadcast(offsets), "part").select("host", "page", "open", (F.col("base") + F.col("nth")).alias("rank"))
+    want = ranked.where("open").select("host", "page", F.explode(F.array(*[F.col("rank") + d for d in (-2, -1, 1, 2)])).alias("rank"))
+    pairs = want.join(ranked.select("host", "rank", F.col("page").alias("near")), ["host", "rank"]).select("page", "near")
+    marks = parsed.select("page", "marks").dropDuplicates(["page"])
+    joined = pairs.join(marks.withColumnsRenamed({"page": "near", "marks": "theirs"}), "near").join(marks.withColumnsRenamed({"marks": "own"}), "page")
 
     def align(batches):
         for batch in batches:
             shared = [sorted(common(o or [], t or [])) for o, t in zip(batch.column("own").to_pylist(), batch.column("theirs").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(shared, pa.list_(pa.int32())), pa.array([len(o or []) for o in batch.column("own").to_pylist()], pa.int32())], names=["page", "shared", "n"])
 
-    aligned = joined.select("page", "own", "theirs").mapInArrow(align, "page long, shared array<int>, n int").where(F.size("shared") < F.col("n") * COPY)
-    drop = Table(aligned.groupBy("page").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")).withColumnRenamed("page", "key"), "shared").df
+    aligned = joined.select("page", "own", "theirs").mapInArrow(align, "page long, shared array<int>, n int").select("page", (F.size("shared") < F.col("n") * COPY).alias("other"), F.explode("shared").alias("pos"))
+    template = aligned.groupBy("page", "pos").agg(F.bool_or("other").alias("other"), F.count("*").alias("m")).where("other or m > 1")
+    gone = Table(template.groupBy("page").agg(F.collect_list("pos").alias("shared")), "template").df
+    few = gone.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
+    drop = Table(parsed.where("open").select("key", "page").distinct().join(F.broadcast(gone) if few else gone, "page").select("key", "shared"), "shared").df
     few = drop.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
     out = rows.join(F.broadcast(drop) if few else drop, "key", "left").select("id", "url", "html", "shared")
 

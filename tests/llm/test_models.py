@@ -308,6 +308,20 @@ def test_page_differencing(spark):
             assert r["text"] == "same\ntext"  # copies tell nothing about templates
 
 
+def test_page_differencing_with_large_templates_and_copies(spark):
+    lines = lambda *t: "".join(f"<div>{x}</div>" for x in t)
+    large = lambda i: lines("Site", "Top", f"Story {i} is here.", "About", "Rights")
+    rows = [(i, f"https://large.example/{i:02d}", large(i)) for i in range(9)]  # 4 of 5 blocks are template
+    small = lambda *t: lines("Site", *t, "Rights")
+    rows += [(20 + i, f"https://copies.example/{i:02d}?x={i}", small("Copied story.") if 2 <= i < 9 else small(f"Story {i}.")) for i in range(11)]
+    body = [f"Sentence {k}." for k in range(9)]  # two almost equal pages among others
+    rows += [(40 + i, f"https://almost.example/{i:02d}", small(*body, f"Version {i}.") if i in (3, 4) else small(f"Story {i}.", f"Its end {i}.")) for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert [got[i] for i in range(9)] == [f"Story {i} is here." for i in range(9)]
+    assert [got[20 + i] for i in range(11)] == ["Copied story." if 2 <= i < 9 else f"Story {i}." for i in range(11)]
+    assert [got[40 + i] for i in range(8)] == ["\n".join([*body, f"Version {i}."]) if i in (3, 4) else f"Story {i}.\nIts end {i}." for i in range(8)]
+
+
 def test_common():
     rng = random.Random(1)
     for _ in range(50):
