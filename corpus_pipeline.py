@@ -23,11 +23,11 @@ BROADCAST_IDS = 1_000_000
 TRUST = 0.5
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among ``ids``; a null id is among none."""
-    ids = Table(ids.select("doc_id").distinct(), "taken-out").df
+def without(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
+    """The documents whose ``by`` is not among ``ids``; a null is among none."""
+    ids = Table(ids.select(by).distinct(), "taken-out").df
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(ids) if few else ids, by, "left_anti").select(*docs.columns)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -52,19 +52,36 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[(n_chars if n == "n_chars" else F.col(c[n])).alias(n) for n in docs.columns])
 
 
+def named_once(docs: DataFrame) -> bool:
+    """Whether every document has an id that no other has."""
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    return ids["n"] == ids["d"]
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies (five-word shingles, similarity 0.8)."""
-    ids = docs.where("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if ids["n"] != ids["d"]:  # a row that repeats another is a copy too
-        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Keeps the first document of each group of near copies (five-word shingles, similarity 0.8).
+
+    Rows that repeat id and text are one document.  Documents that share an id or have none are told apart by their row, in order
+    of id (nulls last) and hash of the text.
+    """
+    if not named_once(docs):
+        docs = docs.dropDuplicates(["doc_id", "text"])
+        if not named_once(docs):
+            df, c = numbered(docs)
+            order = [F.col(c["doc_id"]).asc_nulls_last(), F.xxhash64(c["text"])]
+            rows = Table(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "rows").df
+            groups = near_groups(rows, "row", c["text"], k=5, percent=80)
+            return without(rows, groups.where("not kept"), "row").drop("row").toDF(*docs.columns)
     groups = near_groups(docs, k=5, percent=80)
     return without(docs, groups.where("not kept"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out documents that hold ten consecutive words of a benchmark item."""
-    found = find_items(docs, table(spark, sf_dir, "benchmark"), size=10)
-    return without(docs, found.where(F.size("spans") > 0))
+    """Takes out documents that hold ten consecutive words of a benchmark item; a document is an id, which may be null, and a text."""
+    df, c = numbered(docs)
+    rows = df.withColumn("row", F.xxhash64(c["doc_id"], c["text"]))
+    found = find_items(rows, table(spark, sf_dir, "benchmark"), "row", c["text"], size=10)
+    return without(rows, found.where(F.size("spans") > 0), "row").drop("row").toDF(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,23 @@ def test_pipeline(spark, texts, tmp_path):
 
 def test_stages_are_named():
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "near_dedup", "decontaminate", "packing"]
+
+
+def test_documents_that_share_an_id_or_have_none(spark, tmp_path):
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(5)
+    a, b, c, d, item = (words(rng, 40) for _ in range(5))
+    leak = f"{words(rng, 5)} {item} {words(rng, 5)}"
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "y"), (2, a, "z"), (None, b, "y"), (None, c, "x"), (None, c, "w"), (3, d, "x"), (3, leak, "x"), (None, leak, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    out = cp.near_dedup(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert pairs(out) == sorted([(1, a), (1, b), (None, c), (3, d), (3, leak)], key=repr)
+    out = cp.decontaminate(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert pairs(out) == sorted(((i, t) for i, t, _ in rows if t != leak), key=repr)
