@@ -1,82 +1,130 @@
-"""Removal of repeated runs of lines, by prefix doubling over sequences of line ids (built-in functions only).
-
-A position is a line of a document; its suffix is the rest of the document from there.  Round h names the
-first 2**h lines of every suffix by the pair of names of its two halves, so equal names are the
-intervals of the suffix array whose common prefix has 2**h lines or more.  A name that occurs once
-ends its suffix's search, so rounds work on ever fewer rows and stop when no interval is left.  Of every
-interval the earliest position, in order of document and line, is the copy that stays.  Names are 64-bit
-hashes; a popular line meets its interval's first position in a join that Spark may split.
+"""Removal of repeated runs of lines: a suffix array over sequences of line ids, by prefix doubling (built-in functions only).
+
+A position is a line of a document; its suffix is the rest of the document from there.  Round h ranks suffixes by their
+first 2**h lines: the pair (rank of the first half, rank of the second half) is sorted over the cluster, and its place in
+that order is the new rank.  Suffixes of equal rank are an interval of the suffix array whose common prefix has 2**h lines
+or more.  A suffix whose rank is its own has no longer common prefix with any other, so it leaves; rounds work on ever
+fewer rows and stop when no interval is left.  In every interval the earliest position is the copy that stays and all
+others are later copies of 2**h lines; laid together over all rounds, these give the maximal repeated runs.
+
+Ranks are exact: only lines themselves are compared by a digest (128 bits).  A line that is very common meets its
+interval in tasks of their own, dealt by position; at most ``HOT`` such lines can exist, so that list may be broadcast.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Table
 
+#: A name with more than 1/HOT of all rows is hot; there are fewer than HOT of them, whatever the data.
+HOT = 1024
+#: Bits of the filter that tells touched documents, in 32768-bit rows: its size, 4 MB, does not grow with the data.
+FILTER_ROWS = 1024
+_ROW_BITS = 32768
+
+
+def _own() -> Column:
+    return F.struct("doc", "key", "pos")
+
+
+def _level(named: DataFrame, name: list[str], label: str, repeats: bool = False) -> Table | None:
+    """Ranks the rows by ``name`` and keeps those whose name repeats: (doc, key, pos, rank, later, *others); None without any.
+
+    rank grows with name, later tells that an earlier position has the name.  With ``repeats`` a row may occur several times.
+    """
+    others = [c for c in named.columns if c not in ("doc", "key", "pos", *name)]
+    groups = named.groupBy(*name).agg(F.min(_own()).alias("first"), F.count("*").alias("m")).where("m > 1")
+    order = groups.repartitionByRange(*name).sortWithinPartitions(*name).withColumn("rank", F.monotonically_increasing_id())
+    ranks = Table(order, f"{label}-ranks")
+    rows = ranks.df.agg(F.sum("m").alias("m")).first()["m"]
+    if not rows:
+        ranks.drop()
+        return None
+    hot = ranks.df.where(F.col("m") * HOT > rows)  # fewer than HOT rows: their m sum to at most ``rows``
+    cold = ranks.df.where(F.col("m") * HOT <= rows)
+    wide = named.join(F.broadcast(hot.select(*name, F.col("first").alias("hot_first"), F.col("rank").alias("hot_rank"))), name, "left")
+    # Rows of a hot name are done; their key for the second join is spread, and negative salts meet nothing.
+    salt = F.when(F.col("hot_rank").isNotNull(), F.pmod(F.xxhash64("key", "pos"), F.lit(1 << 16)).cast("int")).otherwise(F.lit(-1))
+    both = wide.withColumn("salt", salt).join(cold.select(*name, "first", "rank", F.lit(-1).alias("salt")), [*name, "salt"], "left")
+    first, rank = F.coalesce("hot_first", "first"), F.coalesce("hot_rank", "rank")
+    out = both.where(rank.isNotNull()).select("doc", "key", "pos", rank.alias("rank"), (_own() != first).alias("later"), *others)
+    table = Table(out.distinct() if repeats else out, label)
+    ranks.drop()
+    return table
+
 
-def _first_of(named: DataFrame) -> DataFrame:
-    """Positions whose name occurs more than once, with ``later``: whether an earlier position has it."""
-    first = named.groupBy("name").agg(F.min(F.struct("doc", "key", "pos")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    own = F.struct("doc", "key", "pos")
-    return named.join(first, "name").select("doc", "key", "pos", "name", (own != F.col("first")).alias("later"))
+def _pairs(level: DataFrame, step: int) -> DataFrame:
+    """(doc, key, pos, left, right): the ranks of the suffix and of the one ``step`` lines on, where both are ranked."""
+    ahead = Window.partitionBy("doc", "key").orderBy("pos").rangeBetween(step, step)
+    return level.select("doc", "key", "pos", F.col("rank").alias("left"), F.first("rank").over(ahead).alias("right")).where("right is not null")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2, lone_bytes: int | None = None) -> DataFrame:
-    """One row per document with a line to remove: (doc, key, removed, longest).
+    """One row per document with a line to remove: (doc, key, runs, longest).
 
-    key is the hash of id and text, removed the line numbers, longest the largest power of two such that a run of so many
-    lines has an earlier copy.
+    (doc, key) are the id and a hash of id and text, runs the maximal removed runs as (start, end) in order of start, longest the
+    largest power of two such that a run of so many lines has an earlier copy.
     """
     if min_lines < 1:
         raise ValueError("min_lines must be at least 1")
-    parts = F.split(F.col(text_col).cast("string"), "\n", -1)
-    place = [F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("key")]
     there = docs.where(F.col(text_col).isNotNull())
-    lines = there.select(*place, F.posexplode(F.transform(parts, lambda line: F.xxhash64(line))).alias("pos", "name"))
-    level = Table(_first_of(lines.distinct()), "lines")
-    removed: list[Table] = []
-    depth = 1
-    hit = None
-    while True:
-        if depth <= min_lines < 2 * depth:
-            # Runs of min_lines lines: two names of 2**h lines, which may overlap.
-            step = min_lines - depth
-            a = level.df
-            if step:
-                b = a.select(F.col("key"), (F.col("pos") - step).alias("pos"), F.col("name").alias("next"))
-                named = a.join(b, ["key", "pos"]).select("doc", "key", "pos", F.xxhash64("name", "next").alias("name"))
-                hit = Table(_first_of(named).where("later").select("doc", "key", "pos"), "runs")
-            else:
-                hit = Table(a.where("later").select("doc", "key", "pos"), "runs")
-        removed.append(level)
-        a = level.df
-        b = a.select("key", (F.col("pos") - depth).alias("pos"), F.col("name").alias("next"))
-        named = a.join(b, ["key", "pos"]).select("doc", "key", "pos", F.xxhash64("name", "next").alias("name"))
-        after = Table(_first_of(named), "suffixes")
-        depth *= 2
-        if not after.df.limit(1).count():
-            after.drop()
-            break
-        level = after
-    lone = None
-    if lone_bytes is not None:  # copies of a long line are all long, so they meet without the others
-        sized = F.transform(parts, lambda line: F.struct(F.xxhash64(line).alias("name"), F.octet_length(line).alias("size")))
-        long = there.select(*place, F.posexplode(sized).alias("pos", "line")).where(F.col("line.size") >= lone_bytes)
-        lone = _first_of(long.select("doc", "key", "pos", "line.name").distinct()).where("later").select("doc", "key", "pos")
-    if hit is None and lone is None:  # no interval is as deep as min_lines
-        return removed[0].df.where("false").select("doc", "key", F.array("pos").alias("removed"), F.lit(0).cast("long").alias("longest"))
-    reach = None
-    for h, t in enumerate(removed):
-        part = t.df.where("later").groupBy("doc", "key").agg(F.lit(1 << h).cast("long").alias("longest"))
-        reach = part if reach is None else reach.unionByName(part)
-    covered = lone
-    if hit is not None:
-        runs = hit.df.select("doc", "key", F.explode(F.sequence(F.col("pos"), F.col("pos") + (min_lines - 1))).alias("pos"))
-        covered = runs if lone is None else runs.unionByName(lone)
-    spans = covered.groupBy("doc", "key").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
-    return spans.join(reach.groupBy("key").agg(F.max("longest").alias("longest")), "key", "left")
+    text, doc = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    long = (lambda line: F.octet_length(line) >= lone_bytes) if lone_bytes is not None else (lambda line: F.lit(False))
+    ids = F.transform(F.split(text, "\n", -1), lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"), long(line).alias("long")))
+    lines = there.select(doc.alias("doc"), F.xxhash64(doc, text).alias("key"), F.posexplode(ids).alias("pos", "line"))
+    lines = lines.select("doc", "key", "pos", "line.a", "line.b", "line.long")
+    level, depth = _level(lines, ["a", "b"], "lines", repeats=True), 1
+    hits: list[Table] = []
+
+    def hit(found: DataFrame, n: int) -> None:
+        hits.append(Table(found.select("doc", "key", "pos", F.lit(n).alias("n"), F.lit(n if n & (n - 1) == 0 else 1 << n.bit_length() - 1).cast("long").alias("reach")), "runs"))
+
+    if level and lone_bytes is not None:
+        hit(level.df.where("later and long"), 1)
+    while level:
+        if depth >= min_lines:
+            hit(level.df.where("later"), depth)
+        elif 2 * depth > min_lines:  # min_lines is no power of two: its two halves overlap
+            exact = _level(_pairs(level.df, min_lines - depth), ["left", "right"], "overlap")
+            if exact:
+                hit(exact.df.where("later"), min_lines)
+                exact.drop()
+        after = _level(_pairs(level.df, depth), ["left", "right"], "suffixes")
+        level.drop()
+        level, depth = after, 2 * depth
+    if not hits:
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        return docs.where("false").select(doc.alias("doc"), F.lit(0).cast("long").alias("key"), none.alias("runs"), F.lit(0).cast("long").alias("longest"))
+    found = hits[0].df
+    for t in hits[1:]:
+        found = found.unionByName(t.df)
+    # Overlapping and adjacent hits of a document are one run.
+    whole = Window.partitionBy("doc", "key").orderBy("pos", "n")
+    before = F.max(F.col("pos") + F.col("n")).over(whole.rowsBetween(Window.unboundedPreceding, -1))
+    opens = found.withColumn("opens", (before.isNull() | (F.col("pos") > before)).cast("int"))
+    runs = opens.withColumn("run", F.sum("opens").over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("doc", "key", "run").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("n")).alias("end"), F.max("reach").alias("reach"))
+    out = Table(runs.groupBy("doc", "key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"), F.max("reach").alias("longest")), "removed")
+    for t in hits:
+        t.drop()
+    return out.df
+
+
+def _touched(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` with ``touched``: true for every row whose key is among ``keys``, and for few others.
+
+    One bit a key in a filter of fixed size, which is broadcast.  A full filter lets more rows pass, none is lost.
+    """
+    bit = F.pmod(F.col("key"), F.lit(FILTER_ROWS * _ROW_BITS))
+    place = lambda c: (F.floor(c / _ROW_BITS).cast("int"), F.pmod(c, F.lit(_ROW_BITS)))
+    row, at = place(bit)
+    bits = keys.select(row.alias("filter_row"), at.alias("at")).groupBy("filter_row").agg(F.expr("bitmap_construct_agg(at)").alias("filter_bits"))
+    byte = F.ascii(F.decode(F.substring("filter_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    set_ = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    out = rows.withColumn("filter_row", row).join(F.broadcast(bits), "filter_row", "left")
+    return out.withColumn("touched", F.coalesce(set_, F.lit(False))).drop("filter_row", "filter_bits")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2, lone_bytes: int | None = None) -> DataFrame:
@@ -86,27 +134,35 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     position of the corpus, in order of id (nulls first), hash of the text, and line; the first copy stays, also within one document.
     With ``lone_bytes`` a line of at least so many UTF-8 bytes also goes alone, whatever stands next to it.
     n_runs counts maximal removed runs, longest_run is the largest power of two such that so many consecutive lines have an earlier
-    copy (0: none).  A null text stays null with no lines; an empty text is one empty line; a text that loses
+    copy that takes lines out (0: none).  A null text stays null with no lines; an empty text is one empty line; a text that loses
     all lines becomes empty.  Rows that repeat id and text are one document, and get equal results.  All other columns are
     passed on, but for those named like a result, which take its place.
+
+    Only documents that may lose lines are shuffled with their texts.
     """
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # neutral names, so that no column can clash
-    given = F.col(names[text_col])
-    mine = docs.toDF(*names.values()).withColumn("key", F.xxhash64(F.col(names[id_col]).cast("long"), given.cast("string")))
-    runs = repeated_runs(docs, id_col, text_col, min_lines=min_lines, lone_bytes=lone_bytes).select("key", "removed", "longest")
-    out = mine.join(runs, "key", "left")
+    given, doc = F.col(names[text_col]), F.col(names[id_col]).cast("long")
+    runs = repeated_runs(docs, id_col, text_col, min_lines=min_lines, lone_bytes=lone_bytes)
+    mine = _touched(docs.toDF(*names.values()).withColumn("key", F.xxhash64(doc, given.cast("string"))), runs.select("key"))
+    found = runs.select(F.col("doc").alias("run_doc"), F.col("key").alias("run_key"), "runs", "longest")
+    same = F.col("key").eqNullSafe(F.col("run_key")) & doc.eqNullSafe(F.col("run_doc"))
+    apart = mine.where("touched").hint("shuffle_merge").join(found, same, "left").drop("run_doc", "run_key")
+    kinds = dict(runs.dtypes)
+    left_alone = mine.where("not touched").withColumn("runs", F.lit(None).cast(kinds["runs"])).withColumn("longest", F.lit(None).cast("long"))
+    out = left_alone.unionByName(apart)
     lines: Column = F.split(given.cast("string"), "\n", -1)
-    gone = F.coalesce("removed", F.array().cast("array<int>"))
-    # Differences of sets of line numbers are hashed, so a long document costs as much a line as a short one.
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    kept = F.transform(left, lambda p: lines[p])
-    starts = F.size(F.array_except(F.transform(gone, lambda p: p - 1), gone))
-    text = F.when(F.size(gone) > 0, F.array_join(kept, "\n")).otherwise(given)
+    # The kept stretches lie between runs: from 0 or a run's end to the next run's start or the end of the text.
+    kept_from = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["end"]))
+    kept_to = F.concat(F.transform("runs", lambda r: r["start"]), F.array(F.size(lines)))
+    kept = F.flatten(F.zip_with(kept_from, kept_to, lambda a, b: F.slice(lines, a + 1, b - a)))
+    text = F.when(F.col("runs").isNotNull(), F.array_join(kept, "\n")).otherwise(given)
     results = {
         "n_lines": F.coalesce(F.size(lines).cast("long"), F.lit(0).cast("long")),
-        "n_removed": F.size(gone).cast("long"),
-        "n_runs": starts.cast("long"),
+        "n_removed": F.coalesce(F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"]), F.lit(0).cast("long")),
+        "n_runs": F.coalesce(F.size("runs").cast("long"), F.lit(0).cast("long")),
         "longest_run": F.coalesce("longest", F.lit(0).cast("long")),
     }
+    results["n_lines"] = F.when(given.isNull(), F.lit(0).cast("long")).otherwise(results["n_lines"])
+    results["n_runs"] = F.when(F.col("runs").isNull(), F.lit(0).cast("long")).otherwise(results["n_runs"])
     passed = [text.alias(c) if c == text_col else F.col(names[c]).alias(c) for c in docs.columns if c not in results]
     return out.select(*passed, *[v.alias(n) for n, v in results.items()])
