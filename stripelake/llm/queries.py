@@ -44,43 +44,20 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import drop_repeated_lines
-
-    out = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2)
-    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-OP4_SQL = """
-WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
-pairs AS (SELECT doc_id, text, pos, line, lead(line) OVER (PARTITION BY doc_id, text ORDER BY pos) AS next FROM lines),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS copy FROM pairs WHERE next IS NOT NULL),
-hit AS (SELECT doc_id, text, pos FROM firsts WHERE copy > 1),
-gone AS (SELECT doc_id, text, pos FROM hit UNION SELECT doc_id, text, pos + 1 FROM hit),
-marked AS (SELECT l.*, g.pos IS NOT NULL AS removed FROM lines l LEFT JOIN gone g USING (doc_id, text, pos)),
-runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_id, text ORDER BY pos), false) AS opens FROM marked)
-SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(removed AS INT)) AS BIGINT) AS n_removed, CAST(sum(CAST(opens AS INT)) AS BIGINT) AS n_runs,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT removed), '')) AS kept_sha256
-FROM runs GROUP BY doc_id, text
-"""
-
-
 #: A line of so many bytes counts as a passage by itself, as a string of that length does in op3.
 LONE_BYTES = 200
 
 
-def op4_line_dedup_lone(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import drop_repeated_lines
 
     out = drop_repeated_lines(table(spark, sf_dir, "documents"), min_lines=2, lone_bytes=LONE_BYTES)
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-#: As OP4_SQL, with later copies of single long lines.
-OP4_LONE_SQL = f"""
-WITH docs AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
-lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+OP4_SQL = f"""
+WITH docs AS (SELECT DISTINCT doc_id, text FROM documents),
+lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs WHERE text IS NOT NULL),
 pairs AS (SELECT doc_id, text, pos, line, lead(line) OVER (PARTITION BY doc_id, text ORDER BY pos) AS next FROM lines),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS copy FROM pairs WHERE next IS NOT NULL),
 hit AS (SELECT doc_id, text, pos FROM firsts WHERE copy > 1),
@@ -91,6 +68,7 @@ runs AS (SELECT *, removed AND NOT coalesce(lag(removed) OVER (PARTITION BY doc_
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(removed AS INT)) AS BIGINT) AS n_removed, CAST(sum(CAST(opens AS INT)) AS BIGINT) AS n_runs,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT removed), '')) AS kept_sha256
 FROM runs GROUP BY doc_id, text
+UNION ALL SELECT doc_id, 0, 0, 0, sha256('') FROM docs WHERE text IS NULL
 """
 
 
@@ -143,7 +121,6 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
-    "op4_line_dedup_lone": op4_line_dedup_lone,
     "op5_html_text": op5_html_text,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_file": op7_token_file,
@@ -151,4 +128,4 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op4_line_dedup_lone": OP4_LONE_SQL}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}

@@ -47,6 +47,16 @@ def repeats(texts, size):
     return out
 
 
+def repeated_runs(rows, k, lone_bytes):
+    """As repeated_lines, with lines of ``lone_bytes`` or more that have an earlier copy."""
+    out, single = repeated_lines(rows, k), repeated_lines(rows, 1)
+    for i, t in rows:
+        if t is not None:
+            lines = t.split("\n")
+            out[i].update(p for p in single[i] if len(lines[p].encode()) >= lone_bytes)
+    return out
+
+
 def repeated_lines(rows, k):
     """rows: distinct (id, text) in order; {id: set of removed line numbers}."""
     seen, out = set(), defaultdict(set)

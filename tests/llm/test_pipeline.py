@@ -33,7 +33,7 @@ def test_pipeline(spark, texts, tmp_path):
     two = cp.line_dedup(spark, one, str(tmp_path))
     assert two.columns == docs.columns
     assert {(r["score"], r["n_removed"], r["_key"]) for r in two.collect()} == {("clash",) * 3}
-    gone = brute.repeated_lines(sorted(kept.items()), 2)
+    gone = brute.repeated_runs(sorted(kept.items()), 2, 200)
     left = {i: "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i]) for i, t in kept.items()}
     left = {i: t for i, t in left.items() if not gone[i] or t.strip(" ")}
     assert {r["doc_id"]: r["text"] for r in two.collect()} == left
