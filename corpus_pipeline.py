@@ -14,7 +14,7 @@ from stripelake.llm.language import PENDING, identify, learn
 from stripelake.llm.line_dedup import drop_repeated_lines
 from stripelake.llm.near_dedup import near_groups
 from stripelake.llm.packing import pack
-from stripelake.llm.queries import table, tokenizer
+from stripelake.llm.queries import LONE_BYTES, table, tokenizer
 from stripelake.llm.scratch import Table
 
 #: Ids up to this number are broadcast (8 bytes each) to take documents out; more meet them in a shuffle.
@@ -45,9 +45,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes later copies of runs of two or more lines out of texts; documents that consist of such copies go."""
+    """Takes later copies of runs of two or more lines, and of single lines of 200 bytes or more, out of texts.
+
+    Documents that consist of such copies go; null and empty texts have nothing that repeats and stay; an empty table stays one.
+    """
     df, c = numbered(docs)
-    out = drop_repeated_lines(df, c["doc_id"], c["text"], min_lines=2).where((F.col("n_removed") == 0) | (F.trim(c["text"]) != ""))
+    out = drop_repeated_lines(df, c["doc_id"], c["text"], min_lines=2, lone_bytes=LONE_BYTES).where((F.col("n_removed") == 0) | (F.trim(c["text"]) != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length(c["text"]).cast("long")).otherwise(F.col(c["n_chars"]))
     return out.select(*[(n_chars if n == "n_chars" else F.col(c[n])).alias(n) for n in docs.columns])
 
