@@ -6,9 +6,9 @@ probability of the context tree below it, so all depths are mixed with weights t
 sets.  The statistics are frozen before scoring.  A bit's probability then depends on the context and
 the byte alone, and is tabulated once for every n-gram of the corpus; scoring is look-up.
 
-Sums run in three steps: tasks tally n-grams of their texts, Spark adds the tallies, and each pair of
-nearest context bytes makes its own subtrees; the two shortest contexts, at most 255 * 257 nodes, are
-put together from those.
+Sums run in three steps: tasks tally n-grams of their texts, Spark adds the tallies, and the subtrees below three
+nearest context bytes are made by themselves; shorter contexts are put together from those, level by level.
+A model beyond ``BROADCAST_KEYS`` entries is looked up part by part, in as many passes over the texts, with the same results.
 """
 
 from __future__ import annotations
@@ -27,8 +27,10 @@ from .scratch import Table
 from .text_hash import LOWER, SPACE_WORD, span_hashes, words
 
 ORDER = 5
-#: Up to so many n-grams and words are broadcast for scoring (16 bytes each at most); more are joined.
+#: So many n-grams and words are looked up at once (16 bytes each at most); more take several passes over the texts.
 BROADCAST_KEYS = 8_000_000
+#: About so many n-grams make a task of the trees.
+DEALT = 100_000
 _indexes: dict[str, tuple] = {}
 _HALF = 2 * math.lgamma(0.5)
 
@@ -166,35 +168,66 @@ def tallies(docs: DataFrame, order: int) -> DataFrame:
 
 
 def code_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, score): log10 of the probability of each n-gram's last byte after its context; counts has (key, trained)."""
+    """(key, score): log10 of the probability of each n-gram's last byte after its context; counts has (key, trained).
+
+    N-grams are dealt by their three nearest context bytes, so no task holds more than those of one such context: 256**3 at order 5.
+    """
     spark = counts.sparkSession
-    pair = F.shiftrightunsigned("key", 8 * (order - 1))  # the two nearest context bytes
+    deep = min(3, order)
+    n = counts.count()
+    context = F.shiftrightunsigned("key", 8 * (order - deep + 1))  # the nearest context bytes
+    dealt = counts.select("key", "trained", F.pmod(F.xxhash64(context), F.lit(max(8, -(-n // DEALT)))).alias("deal"))
 
-    def top(unit, t):
+    def below(unit, t):
         gram, n = t.column("key").to_numpy().view(np.uint64), t.column("trained").to_numpy()
-        levels, weighted = _levels(gram, n, order, 2)
+        levels, weighted = _levels(gram, n, order, deep)
         last = levels[-1]
-        return pa.table({"key": pa.array(last.keys.view(np.int64)), "n0": pa.array(last.n0, pa.float64()), "n1": pa.array(last.n1, pa.float64()), "weighted": pa.array(weighted, pa.float64())})
+        return pa.table({"key": pa.array(last.keys.view(np.int64)), "n0": pa.array(last.n0, pa.float64()), "n1": pa.array(last.n1, pa.float64()), "below": pa.array(weighted, pa.float64())})
 
-    dealt = counts.select("key", "trained", pair.alias("pair"))
-    second = dealt.groupBy("pair").applyInArrow(top, "key long, n0 double, n1 double, weighted double")
+    def weighted(batches):
+        for batch in batches:
+            n0, n1, sums = (batch.column(c).to_numpy() for c in ("n0", "n1", "below"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "n0", "n1")), pa.array(_weigh(kt(n0, n1), sums))], names=["key", "n0", "n1", "below"])
+
+    def shorter(nodes: DataFrame) -> DataFrame:
+        """Nodes of contexts that are one byte shorter, with the weighted probabilities below them."""
+        up = F.shiftleft(F.shiftrightunsigned("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(255))
+        return nodes.groupBy(up.alias("key")).agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+
+    kinds = "key long, n0 double, n1 double, below double"
+    nodes = dealt.groupBy("deal").applyInArrow(below, kinds)
+    middle = Table(shorter(nodes), "nodes").df if deep == 3 else None  # two bytes
+    if deep >= 2:
+        first = shorter(middle.mapInArrow(weighted, kinds) if middle is not None else nodes)
+    else:
+        first = nodes.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
     # Depth 1 has at most 257 contexts of 255 nodes each: a bounded table.
-    parts = second.select((F.shiftleft(F.shiftrightunsigned("key", 16), 8).bitwiseOR(F.col("key").bitwiseAND(255))).alias("key"), "n0", "n1", "weighted")
-    first = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "weighted")]).toPandas().sort_values("key")
+    first = first.toPandas().sort_values("key")
     keys = first["key"].to_numpy().astype(np.uint64)
-    n0, n1, below = (first[c].to_numpy(dtype=np.float64) for c in ("n0", "n1", "weighted"))
+    n0, n1, sums = (first[c].to_numpy(dtype=np.float64) for c in ("n0", "n1", "below"))
     own = kt(n0, n1)
-    one = _Level(keys, n0, n1, own - below)
-    at, inverse = np.unique(keys & np.uint64(0xFF), return_inverse=True)
-    m0, m1, below = (np.bincount(inverse, x, len(at)) for x in (n0, n1, _weigh(own, below)))
-    shared = spark.sparkContext.broadcast((one, _Level(at, m0, m1, kt(m0, m1) - below)))
+    one = _Level(keys, n0, n1, own - sums)
+    up = (keys >> np.uint64(16)) << np.uint64(8) | (keys & np.uint64(0xFF))
+    at, inverse = np.unique(up, return_inverse=True)
+    m0, m1, sums = (np.bincount(inverse, x, len(at)) for x in (n0, n1, _weigh(own, sums)))
+    shared = spark.sparkContext.broadcast((one, _Level(at, m0, m1, kt(m0, m1) - sums)))
 
-    def code(unit, t):
+    def code(unit, t, two=None):
         gram, n = t.column("key").to_numpy().view(np.uint64), t.column("trained").to_numpy()
-        levels = _levels(gram, n, order, 2)[0] + list(shared.value)
-        return pa.table({"key": t.column("key"), "score": pa.array(_bits(gram, levels, order))})
-
-    return dealt.groupBy("pair").applyInArrow(code, "key long, score double")
+        levels = _levels(gram, n, order, deep)[0]
+        if two is not None:
+            order_ = np.argsort(two.column("key").to_numpy().view(np.uint64))
+            at, n0, n1, sums = two.column("key").to_numpy().view(np.uint64)[order_], *(two.column(c).to_numpy()[order_] for c in ("n0", "n1", "below"))
+            levels.append(_Level(at, n0, n1, kt(n0, n1) - sums))
+        return pa.table({"key": t.column("key"), "score": pa.array(_bits(gram, levels + list(shared.value), order))})
+
+    if middle is None:
+        return dealt.groupBy("deal").applyInArrow(lambda unit, t: code(unit, t), "key long, score double")
+    # Each deal gets the two-byte nodes that its contexts end in.
+    pair = F.shiftrightunsigned("key", 8 * (order - 1))
+    wanted = dealt.select("deal", pair.alias("pair")).distinct()
+    near = middle.withColumn("pair", F.shiftrightunsigned("key", 8)).join(wanted, "pair").select(F.col("deal").alias("to"), "key", "n0", "n1", "below")
+    return dealt.groupBy("deal").cogroup(near.groupBy("to")).applyInArrow(code, "key long, score double")
 
 
 def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -218,10 +251,12 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
     log_of = lambda c: np.log10((np.asarray(c, dtype=np.float64) + 1) / (total + kinds + 1))
     codes = Table(code_table(counted.df.where("kind = 0").select("key", "trained"), order), "codes")
     trained_words = counted.df.where("kind = 1 and trained > 0").select("key", "trained")
-    n_codes = codes.df.count()
+    passes = max(1, -(-(codes.df.count() + v_words) // max(1, broadcast_keys)))
 
-    if n_codes + v_words <= broadcast_keys:
-        pairs = [codes.df.select("key", F.col("score").cast("float").alias("x")).toArrow(), trained_words.select("key", F.col("trained").alias("x")).toArrow()]
+    def one_pass(texts: DataFrame, p: int) -> DataFrame:
+        """Sums over the n-grams and words of part ``p`` of the model: (id, learn, n_bytes, m, known, base, score)."""
+        mine = F.pmod(F.xxhash64("key"), F.lit(passes)) == p if passes > 1 else F.lit(True)
+        pairs = [codes.df.where(mine).select("key", F.col("score").cast("float").alias("x")).toArrow(), trained_words.where(mine).select("key", F.col("trained").alias("x")).toArrow()]
         arrays = [c.to_numpy() for t in pairs for c in (t.column("key"), t.column("x"))]
         del pairs
         shared = spark.sparkContext.broadcast(arrays)
@@ -236,46 +271,34 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
             index, value, words_, count = _indexes[mark]
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             buf, at = gram_buffer(texts, order, True)
-            each = value[index.find(grams(buf, order)[own_positions(at, order)])].astype(np.float64)
+            found = index.find(grams(buf, order)[own_positions(at, order)])
+            each = np.where(found >= 0, value[found], 0).astype(np.float64) if len(value) else np.zeros(len(found))
             n = np.diff(at) - order
             by_text = np.add.reduceat(each, np.cumsum(n) - n)  # at least the end each
             h, m = _word_hashes(texts)
             got = words_.find(h)
             known = got >= 0
-            c = np.where(known, count[got], 0) if len(count) else np.zeros(len(h))
-            sums = np.concatenate(([0.0], np.cumsum(log_of(c))))
+            logs = np.where(known, np.log10((np.where(known, count[got], 0) + 1) / (total + kinds + 1)), 0) if len(count) else np.zeros(len(h))
+            sums = np.concatenate(([0.0], np.cumsum(logs)))
             hits = np.concatenate(([0], np.cumsum(known)))
             upto = np.concatenate(([0], np.cumsum(m)))
-            base = sums[upto[1:]] - sums[upto[:-1]]
-            return {"id": batch.column("id"), "learn": batch.column("learn"), "n_bytes": n, "n_tokens": m + 1, "n_known": hits[upto[1:]] - hits[upto[:-1]] + (ends > 0), "train_tokens": np.full(len(n), total, dtype=np.int64), "base_score": base + log_of(ends), "score": by_text}
+            return {"id": batch.column("id"), "learn": batch.column("learn"), "n_bytes": n, "m": m, "known": hits[upto[1:]] - hits[upto[:-1]], "base": sums[upto[1:]] - sums[upto[:-1]], "score": by_text}
+
+        return map_batches(texts, "text", score, "id long, learn boolean, n_bytes long, m long, known long, base double, score double", limit=1 << 20)
 
-        out = map_batches(rows, "text", score, "id long, learn boolean, n_bytes long, n_tokens long, n_known long, train_tokens long, base_score double, score double", limit=1 << 20)
+    if passes == 1:
+        sums = one_pass(rows, 0)
     else:
-        keyed = rows.withColumn("row", F.monotonically_increasing_id())
-
-        def explode(batches):
-            for batch in cut(batches, "text", 1 << 20):
-                for r in batch.select(["row", "text"]).to_pylist():
-                    text = [_bytes(r["text"])]
-                    buf, at = gram_buffer(text, order, True)
-                    for kind, keys in ((0, grams(buf, order)[own_positions(at, order)]), (1, _word_hashes(text)[0])):
-                        keys, n = tally(keys)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), r["row"])), pa.array(np.full(len(keys), kind, dtype=np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["row", "kind", "key", "n"])
-
-        exploded = keyed.mapInArrow(explode, "row long, kind byte, key long, n long")
-        model = codes.df.select(F.lit(0).cast("byte").alias("kind"), "key", "score", F.lit(0).cast("long").alias("trained")).unionByName(trained_words.select(F.lit(1).cast("byte").alias("kind"), "key", F.lit(0.0).alias("score"), "trained"))
-        c = F.coalesce("trained", F.lit(0))
-        base = F.log10((c + 1) / F.lit(float(total + kinds + 1)))
-        sums = exploded.join(model, ["kind", "key"], "left").groupBy("row").agg(
-            F.sum(F.when(F.col("kind") == 0, F.col("n") * F.col("score"))).alias("score"),
-            F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n_bytes"),
-            F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("m"),
-            F.sum(F.when((F.col("kind") == 1) & (c > 0), F.col("n"))).alias("known"),
-            F.sum(F.when(F.col("kind") == 1, F.col("n") * base)).alias("base"),
-        )
-        end = float(log_of(ends))
-        out = keyed.drop("text").join(sums, "row").select(
-            "id", "learn", "n_bytes", (F.coalesce("m", F.lit(0)) + 1).alias("n_tokens"), (F.coalesce("known", F.lit(0)) + int(ends > 0)).alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"), (F.coalesce("base", F.lit(0.0)) + end).alias("base_score"), "score",
-        )
-    return out.withColumnsRenamed({"id": id_col, "learn": learn})
+        kept = Table(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
+        texts = kept.df.withColumn("id", F.col("row"))
+        parts = [Table(one_pass(texts.select("id", "text", "learn"), p), "pass") for p in range(passes)]
+        union = parts[0].df
+        for t in parts[1:]:
+            union = union.unionByName(t.df)
+        added = union.groupBy("id").agg(F.max("n_bytes").alias("n_bytes"), F.max("m").alias("m"), *[F.sum(c).alias(c) for c in ("known", "base", "score")])
+        sums = kept.df.select("id", "row", "learn").join(added.withColumnRenamed("id", "row"), "row")
+    unseen, end = float(log_of(0)), float(log_of(ends))
+    return sums.select(
+        F.col("id").alias(id_col), F.col("learn").alias(learn), "n_bytes", (F.col("m") + 1).alias("n_tokens"), (F.col("known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + (F.col("m") - F.col("known")) * unseen + end).alias("base_score"), "score",
+    )

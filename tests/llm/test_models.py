@@ -163,22 +163,22 @@ def slow_ctw(train, order):
     return code
 
 
-@pytest.mark.parametrize("keys", [10**9, 0])
-def test_ctw_scores(spark, keys):
+@pytest.mark.parametrize(("keys", "order"), [(10**9, 3), (20, 3), (10**9, 4), (10**9, 2), (10**9, 1)])
+def test_ctw_scores(spark, keys, order):
     rows = [(1, "abab abba", True), (2, "ABBA b", True), (3, "abac é", False), (4, None, True), (5, "", False), (6, "zz", None), (None, "ab", True)]
     df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").withColumn("id", F.lit("clash")).withColumn("key", F.lit(1))
-    got = {r["doc_id"]: r for r in ctw.score_texts(df, "learn", order=3, broadcast_keys=keys).collect()}
+    got = {r["doc_id"]: r for r in ctw.score_texts(df, "learn", order=order, broadcast_keys=keys).collect()}
     data = {i: brute.lower(t).encode() for i, t, _ in rows}
-    code = slow_ctw([data[i] for i, _, f in rows if f], 3)
+    code = slow_ctw([data[i] for i, _, f in rows if f], order)
     tokens = {i: data[i].split() + [None] for i in data}
     c = Counter(t for i, _, f in rows if f for t in tokens[i])
     total, kinds = sum(c.values()), len(c)
     for i, _, f in rows:
-        whole = b"\xff" * 3 + data[i] + b"\xff"
+        whole = b"\xff" * order + data[i] + b"\xff"
         r = got[i]
-        assert r["score"] == pytest.approx(sum(code(whole[p - 3 : p], whole[p]) for p in range(3, len(whole))), rel=1e-5)
+        assert r["score"] == pytest.approx(sum(code(whole[p - order : p], whole[p]) for p in range(order, len(whole))), rel=1e-5)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[t] + 1) / (total + kinds + 1)) for t in tokens[i]), rel=1e-9)
-        assert (r["n_bytes"], r["n_tokens"], r["n_known"], r["train_tokens"], r["learn"]) == (len(whole) - 3, len(tokens[i]), sum(c[t] > 0 for t in tokens[i]), total, bool(f))
+        assert (r["n_bytes"], r["n_tokens"], r["n_known"], r["train_tokens"], r["learn"]) == (len(whole) - order, len(tokens[i]), sum(c[t] > 0 for t in tokens[i]), total, bool(f))
 
 
 def test_ctw_is_a_distribution(spark):
