@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -26,12 +29,37 @@ class Store:
 
     def create(self, path: str, text: str) -> bool:
         """Writes a new file in one step; False when it is there already."""
-        target, draft = self._path(path), self._path(f"{path}.{id(text):x}.draft")
+        target, draft = self._path(path), self._path(f"{path}.{uuid.uuid4().hex}.draft")
         out = self._fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
+        if not self._publish(draft, target):
+            self._fs.delete(draft, False)
+            return False
+        return True
+
+    def _publish(self, draft, target) -> bool:
+        """Moves a file to a name that nobody has; one of several writers wins."""
+        jvm = self.spark._jvm
+        if self._fs.getScheme() == "file":  # a link to a name that exists fails, a rename would replace
+            nio = jvm.java.nio.file
+            paths = [nio.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)) for p in (target, draft)]
+            try:
+                nio.Files.createLink(*paths)
+            except Py4JJavaError as e:
+                if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                    raise
+                return False
             self._fs.delete(draft, False)
+            return True
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "NONE")
+        try:
+            context.rename(draft, target, options)  # refuses a target that is there, in one step where the store can
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+                raise
             return False
         return True
 

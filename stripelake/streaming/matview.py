@@ -25,7 +25,8 @@ class IncrementalView:
     def _aggregate(self, df: DataFrame) -> DataFrame:
         return df.groupBy(*self.keys).agg(*[getattr(F, how)(c).alias(n) for n, (how, c) in self.measures.items()])
 
-    def apply(self, rows: DataFrame) -> None:
+    def apply(self, rows: DataFrame, number: int | None = None) -> None:
+        """Merges a batch; ``number`` tells a stream's batches and is kept in the version that holds their rows."""
         part = self._aggregate(rows)
         t = self.table
         with t.change() as m:
@@ -38,6 +39,8 @@ class IncrementalView:
             merged = touched.select(*self.keys, *self.measures).unionByName(part).groupBy(*self.keys).agg(*[getattr(F, COMBINE[how])(n).alias(n) for n, (how, _) in self.measures.items()])
             t._mask(m, touched)
             t._write(merged, m)
+            if number is not None:
+                m["batch"] = number
 
     def follow(self, stream: DataFrame, checkpoint: str):
         """Maintains the view from a streaming DataFrame.  A batch that is replayed after a crash is applied once: its number is kept in
@@ -46,8 +49,7 @@ class IncrementalView:
         def batch(df: DataFrame, number: int) -> None:
             if self.table.manifest.get("batch", -1) >= number:
                 return
-            self.table.manifest["batch"] = number  # becomes part of the version that apply() makes
-            self.apply(df)
+            self.apply(df, number)
 
         return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 

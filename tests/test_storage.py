@@ -170,6 +170,43 @@ def test_stream_keeps_view(engine, spark, tmp_path):
     assert sorted(map(tuple, v.read().collect())) == [(0, 4, 9), (1, 3, 7), (2, 3, 8)]
 
 
+def test_failed_batch_is_applied_by_the_next_run(engine, spark, tmp_path, monkeypatch):
+    from stripelake.streaming.matview import IncrementalView
+
+    spark.range(6).select((F.col("id") % 3).alias("g"), "id").coalesce(1).write.parquet(f"{tmp_path}/in")
+    v = IncrementalView(engine, "v", ["g"], {"n": ("count", "*")}, spark.read.parquet(f"{tmp_path}/in").schema)
+    stream = spark.readStream.schema("g long, id long").parquet(f"{tmp_path}/in")
+    write, calls = type(v.table)._write, []
+
+    def fails_once(self, *args, **kwargs):
+        calls.append(1)
+        if len(calls) == 1:
+            raise OSError("no space")
+        return write(self, *args, **kwargs)
+
+    monkeypatch.setattr(type(v.table), "_write", fails_once)
+    q = v.follow(stream, f"file://{tmp_path}/cp")
+    with pytest.raises(Exception, match="no space"):
+        q.processAllAvailable()
+    q.stop()
+    assert v.read().count() == 0
+    for _ in range(2):
+        q = v.follow(stream, f"file://{tmp_path}/cp")
+        q.processAllAvailable()
+        q.stop()
+    assert sorted(map(tuple, v.read().collect())) == [(0, 2), (1, 2), (2, 2)] and len(calls) == 2
+
+
+def test_one_of_many_writers_wins(engine):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = engine.create("t", "k int").store
+    path = store.at("t", "manifest", "99.json")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: store.create(path, str(i)), range(8)))
+    assert sum(won) == 1 and store.read(path) == str(won.index(True))
+
+
 def test_indexes_and_reports(engine, spark):
     t = engine.create_as("t", series(spark, 5_000).coalesce(1), chunk_group_row_limit=1000)
     for bad in (lambda: t.create_index("i", ["a"], "brin"), lambda: t.create_index("i", ["zz"]), t.cluster, lambda: t.drop_index("no"), lambda: t.upgrade(7)):
