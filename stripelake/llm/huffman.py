@@ -1,20 +1,22 @@
 """Token-id files in a canonical, length-limited Huffman code.
 
 The code's lengths come from the global counts of ids by package-merge, its codes are canonical, so
-a file needs no more than the lengths.  A block holds whole documents and decodes on its own: the bit
+the files' header needs no more than the lengths.  A block holds whole documents and decodes on its own: the bit
 offsets of every ``STRIDE``-th id are checkpoints from which table-driven decoders run side by side.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import cut, release
-from .scratch import Table
+from .scratch import Table, new_path
 from .tokens import encode, load, with_end
 
 LIMIT = 18
@@ -118,14 +120,21 @@ class Codec:
         return result
 
 
-def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> tuple[DataFrame, np.ndarray, list[Table]]:
-    """Tokenises, counts and encodes ``docs`` in ascending order of id.
+#: The version of the layout below.
+FORMAT = 1
+
+
+def write(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, end_id: int = 2) -> str:
+    """Tokenises, counts and encodes ``docs`` in ascending order of id; returns the folder of the files, from which ``read`` alone decodes.
 
-    Returns (blocks, code lengths, written tables).  A row of blocks is one block: (shard, block,
-    first, n_ids, doc_ids, doc_tokens, bits, marks); shards ascend with the ids, ``first`` is the
-    number of the block's first id in its shard.  A null or empty text is the end id alone; rows
+    ``path`` must not exist; without one the files are intermediate and go with the session.  ``path/blocks`` holds Parquet files with a row a
+    block: (shard, block, first, n_ids, doc_ids, doc_tokens, bits, marks); shards ascend with the ids, ``first`` is the number of the
+    block's first id in its shard.  ``path/header`` holds one row: (format, tokenizer, end_id, limit, stride, lengths), where lengths has the
+    bits of each id's code as one byte an id, and tokenizer is the vocabulary file's name.  A null or empty text is the end id alone; rows
     without an id come first; repeated rows are all written.  Other columns are ignored.
     """
+    spark = docs.sparkSession
+    path = path or new_path(spark, "token-file")
     vocab = len(load(tokenizer)[1])
     kind = "<u2" if max(vocab, end_id + 1) <= 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
@@ -172,7 +181,7 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     for r in raw.df.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row an id of the vocabulary
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(lengths)
+    shared = spark.sparkContext.broadcast(lengths)
 
     def compress(batches):
         codec = Codec(shared.value)
@@ -180,15 +189,22 @@ def write(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             done = [codec.encode(np.frombuffer(x.as_buffer(), dtype=kind).astype(np.int64)) for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("shard", "block", "first", "n_ids", "doc_ids", "doc_tokens")] + [pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary())], names=["shard", "block", "first", "n_ids", "doc_ids", "doc_tokens", "bits", "marks"])
 
-    coded = Table(raw.df.mapInArrow(compress, "shard int, block long, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, bits binary, marks binary"), "huffman", "uncompressed")
+    coded = raw.df.mapInArrow(compress, "shard int, block long, first long, n_ids long, doc_ids array<long>, doc_tokens array<long>, bits binary, marks binary")
+    coded.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    header = [(FORMAT, os.path.basename(tokenizer), end_id, LIMIT, STRIDE, bytearray(lengths.tobytes()))]
+    spark.createDataFrame(header, "format int, tokenizer string, end_id long, limit int, stride int, lengths binary").coalesce(1).write.parquet(f"{path}/header")
     raw.drop()
-    return coded.df, lengths, [coded]
+    return path
 
 
-def read(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Decodes blocks: one row per document, (id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, start the
-    number of ids of all documents before it."""
-    spark = blocks.sparkSession
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Decodes the files in ``path``: one row per document, (id, start, n_tokens, ids): ids as little-endian unsigned 32-bit integers, start
+    the number of ids of all documents before it."""
+    header = spark.read.parquet(f"{path}/header").first()
+    if (header["format"], header["limit"], header["stride"]) != (FORMAT, LIMIT, STRIDE):
+        raise ValueError(f"{path} is in another format")
+    lengths = np.frombuffer(bytes(header["lengths"]), dtype=np.uint8)
+    blocks = spark.read.parquet(f"{path}/blocks")
     sizes = {r["shard"]: r["n"] for r in blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}  # a row a shard
     before, at = {}, 0
     for shard in sorted(sizes):
