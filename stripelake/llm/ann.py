@@ -24,8 +24,9 @@ SAMPLE = 20_000
 #: Queries that are answered by brute force to find the walk's length, those whose id's hash is least; and the recall it aims at.
 TRIALS = 100
 RECALL = 0.97
-#: Entries, and queries, that a task ranks together, about.
+#: Entries that a task ranks together, about; and queries, which cost a few hundred bytes each.
 BLOCK = 4_096
+QUERIES = 16_384
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -123,7 +124,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
     entries = rows.select("id", "v").mapInArrow(combine, "vec binary, ids array<long>").groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, k + 1).alias("ids"))
     entries = Table(entries, "vectors")
     n = entries.df.count()
-    part = F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < int(1_000_000 * min(1, sample / max(n, 1)))
+    part = F.shiftrightunsigned(F.xxhash64("vec"), 1) < int(2**63 * sample / n) if n > sample else F.lit(True)
     taken = entries.df.where(part).select("vec").toArrow().column("vec").combine_chunks()
     x = _matrix(taken if len(taken) else entries.df.limit(1).select("vec").toArrow().column("vec"), dim)
     size = max(2, min(256, int(n**0.5 / 2)))
@@ -148,7 +149,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
         candidates = _walk_length(asked, n_asked, index.df, books, sizes, dim, k, recall)
     candidates = max(candidates, k + 1)  # with the query's own entry, k rows at least
     layout = spark.sparkContext.broadcast(sizes)
-    shards, turns = max(1, -(-n // BLOCK)), max(1, -(-n_asked // BLOCK))
+    shards = max(1, -(-n // BLOCK))
 
     def shard_of(cell: np.ndarray, salt: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -169,9 +170,11 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
                 order = np.argsort(shard, kind="stable")
                 at, first = np.unique(shard[order], return_index=True)
                 lists = [c.tolist() for c in np.split(cell[order], first[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([q % turns] * len(at), pa.int32()), pa.array([q] * len(at), pa.int64()), pa.array([m[i].tobytes()] * len(at), pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["shard", "turn", "query", "qvec", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([q] * len(at), pa.int64()), pa.array([m[i].tobytes()] * len(at), pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["shard", "query", "qvec", "cells"])
 
-    probes = asked.mapInArrow(probe, "shard int, turn int, query long, qvec binary, cells array<long>")
+    probes = Table(asked.mapInArrow(probe, "shard int, query long, qvec binary, cells array<long>"), "probes")
+    # The queries that come to a shard are dealt to turns, and only a shard that many come to is copied, once for each turn.
+    turns = Table(probes.df.groupBy("shard").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("turns")), "turns").df
 
     def deal(batches):
         size_ = layout.value
@@ -181,7 +184,8 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
             yield pa.RecordBatch.from_arrays([pa.array(shard_of(cell, salt), pa.int32()), batch.column("cell"), batch.column("vec"), batch.column("ids")], names=["shard", "cell", "vec", "ids"])
 
     stored = index.df.withColumn("mark", F.pmod(F.xxhash64("vec"), F.lit(1 << 30))).mapInArrow(deal, "shard int, cell long, vec binary, ids array<long>")
-    stored = stored.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    stored = stored.join(turns, "shard").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+    dealt = probes.df.join(turns, "shard").withColumn("turn", F.pmod(F.xxhash64("query"), F.col("turns")).cast("int")).drop("turns")
 
     def rank(key, left, right):
         ids, cell = left.column("ids").to_pylist(), left.column("cell").to_numpy()
@@ -197,7 +201,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col:
                 out += [(q, i, dist) for dist, i in sorted((dist, i) for dist, e in zip(d.tolist(), near.tolist()) for i in ids[e] if i != q)[:k]]
         return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
-    best = stored.groupBy("shard", "turn").cogroup(probes.groupBy("shard", "turn")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    best = stored.groupBy("shard", "turn").cogroup(dealt.groupBy("shard", "turn")).applyInArrow(rank, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     once = best.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -209,8 +213,8 @@ def _queries(batch: pa.RecordBatch, dim: int) -> np.ndarray:
 
 def _walk_length(asked: DataFrame, n_asked: int, index: DataFrame, books, sizes: np.ndarray, dim: int, k: int, recall: float) -> int:
     """Entries that walks must meet so that ``recall`` of the true neighbours of the trial queries lie in the cells met."""
-    share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000))
-    trial = asked if n_asked <= TRIALS else asked.where(share < int(1_000_000 * TRIALS / n_asked) + 1)
+    share = F.shiftrightunsigned(F.xxhash64("id", F.lit(3)), 1)
+    trial = asked if n_asked <= TRIALS else asked.where(share < int(2**63 * TRIALS / n_asked))
     batches = trial.toArrow().combine_chunks().to_batches()
     if not batches or not batches[0].num_rows:
         return 1

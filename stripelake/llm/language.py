@@ -20,6 +20,8 @@ from .grams import HashIndex, gram_buffer, grams, merge, own_positions, tally
 ORDER = 4
 #: Training texts of each language: those whose id's hash is least, about so many.
 SAMPLE = 1000
+#: Bytes of each language's training texts, about, at most.
+SAMPLE_BYTES = 16 << 20
 
 #: The answer where there is nothing to judge.
 PENDING = "und"
@@ -122,15 +124,22 @@ class PPM:
         return total
 
 
+def share_of(n: int, size: int, sample: int = SAMPLE) -> float:
+    """The share of a language's texts that is learned: about ``sample`` of n texts, and about SAMPLE_BYTES of their ``size`` bytes at most."""
+    return min(sample / n, SAMPLE_BYTES / max(size, 1))
+
+
 def learn(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> PPM:
-    """Trees from about ``sample`` texts of each language, those with the least hashes of the id; from all where there are no more."""
+    """Trees from about ``sample`` texts (and SAMPLE_BYTES bytes at most) of each language, those with the least hashes of the id; from all
+    where there are no more.  Hashes are compared in 63 bits, so a language of any size keeps its sample.
+    """
     rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null and id is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000))
-    least = [(F.col("lang") == lang) & (share < int(1_000_000 * sample / n)) for lang, n in sizes.items() if n > sample]
-    small = F.col("lang").isin([lang for lang, n in sizes.items() if n <= sample])
-    for c in least:
-        small = small | c
+    sizes = {r["lang"]: share_of(r["n"], r["size"], sample) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}  # a row a language
+    part = F.shiftrightunsigned(F.xxhash64("id", F.lit(1)), 1)
+    small = F.col("lang").isin([lang for lang, share in sizes.items() if share >= 1])
+    for lang, share in sizes.items():
+        if share < 1:
+            small = small | (F.col("lang") == lang) & (part < int(share * 2**63))
     texts: dict[str, list[str | None]] = {}
     if sizes:
         for r in rows.where(small).select("lang", "text").toLocalIterator():
