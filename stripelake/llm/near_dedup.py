@@ -32,8 +32,9 @@ MANTISSA = 10
 PROBES = 48
 #: Ids up to this number are broadcast to pick texts (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Classes of one area or band bucket are compared in blocks of this size.
-BLOCK = 128
+#: Classes of one area or band bucket are compared in blocks of about this size, and of about so many shingles.
+BLOCK = 1024
+BLOCK_SHINGLES = 400_000
 #: Classes whose estimated similarity to a bucket's least class is at least this lie in one area.
 SIMILAR = 0.5
 
@@ -169,8 +170,9 @@ def _deal(rows: DataFrame, unit: str, part: str) -> DataFrame:
     The largest part stands against the rest (kind 0: its block i, side 0, meets block j of the rest, side 1), and the rest against
     itself (kind 1: blocks i and j), so a unit with one large part and a few strays costs little more than its rows.
     """
-    sizes = rows.groupBy(unit, part).agg(F.count("*").alias("size")).groupBy(unit).agg(F.max(F.struct("size", part)).alias("top"), F.sum("size").alias("all")).where(F.col("all") > F.col("top.size"))
-    sizes = sizes.select(unit, F.col(f"top.{part}").alias("main"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("na"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("nb"))
+    sizes = rows.groupBy(unit, part).agg(F.count("*").alias("size"), F.sum("n").alias("sum")).groupBy(unit).agg(F.max(F.struct("size", part, "sum")).alias("top"), F.sum("size").alias("all"), F.sum("sum").alias("sum")).where(F.col("all") > F.col("top.size"))
+    blocks = lambda size, total: F.ceil(F.greatest(size / BLOCK, total / BLOCK_SHINGLES)).cast("int")
+    sizes = sizes.select(unit, F.col(f"top.{part}").alias("main"), blocks(F.col("top.size"), F.col("top.sum")).alias("na"), blocks(F.col("all") - F.col("top.size"), F.col("sum") - F.col("top.sum")).alias("nb"))
     a, b = (F.pmod(F.xxhash64("rep"), F.col(c)).cast("int") for c in ("na", "nb"))
     no, yes = F.lit(0), F.lit(1)
     task = lambda kind, i, j, side: F.struct(kind.alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))

@@ -95,8 +95,8 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .huffman import read, write
 
-    blocks, lengths, _ = write(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
-    return read(blocks, lengths).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = write(table(spark, sf_dir, "documents"), tokenizer(), end_id=2)
+    return read(spark, path).select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

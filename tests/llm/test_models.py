@@ -181,6 +181,15 @@ def test_ctw_scores(spark, keys, order):
         assert (r["n_bytes"], r["n_tokens"], r["n_known"], r["train_tokens"], r["learn"]) == (len(whole) - order, len(tokens[i]), sum(c[t] > 0 for t in tokens[i]), total, bool(f))
 
 
+def test_samples_of_huge_tables_are_not_empty():
+    from stripelake.llm import language
+
+    for n in (10**3, 10**9, 10**12):
+        share = language.share_of(n, 2000 * n)
+        assert 0 < int(share * 2**63) and 900 <= share * n <= 1001
+    assert language.share_of(1000, 10**12) * 10**12 == language.SAMPLE_BYTES  # long texts: fewer of them
+
+
 def test_ctw_is_a_distribution(spark):
     code = slow_ctw([b"abcabc", b"abd"], 2)
     for context in (b"ab", b"zz", b"\xff\xff"):
@@ -284,6 +293,18 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
         ("<table><tr><td>a</td><td>b</td></tr></table>", "a\nb"),
         ('<p title="a > b">c</p><!-- d --><p>e</p>', "c\ne"),
         ("<nav>n", ""),
+        ('<article><p title="The hidden valley">a', "a"),
+        ('<article data-title="A hidden gem">a', "a"),
+        ('<p data-id="menu">a', "a"),
+        ('<article class="post social-post">a</article><article class="teaser">b</article>', "a"),
+        ('<p class="ad-free">a<p class="ad-slot">b', "a"),
+        ('<div class="login-notes">a</div><div id="main-nav">b</div>', "a"),
+        ('<article><figure class="widget"><figcaption>a</figcaption></figure>b</article>', "a\nb"),
+        ("<article>short</article><div>the body of the page in plain boxes</div>", "short\nthe body of the page in plain boxes"),
+        ("<article>the story of this page</article><article>another</article>", "the story of this page"),
+        ("<a href='x>y'>a</a><span hidden>b<span>c</span>d</span>e", "ae"),
+        ("<p a='b>c</p><p>d", "c\nd"),
+        ("a<p ", "a"),
         ("", ""),
         (None, ""),
     ],
@@ -293,6 +314,81 @@ def test_blocks(spark, html, text):
     assert html_text.main_text(page).select("page_id", "url", "text").collect() == [(1, "http://h.example/a", text)]
 
 
+@pytest.mark.parametrize("unit", ["<p ", '<p a="', "<b><div>", "<span class=ad>", "</div>", "<!--", "<", "<div><p><span hidden>", "&amp", "<br>"])
+def test_long_broken_pages_take_linear_time(unit):
+    import time
+
+    began = time.time()
+    html_text.blocks(unit * (1_000_000 // len(unit)) + "</b>" * 100_000)
+    assert time.time() - began < 20
+
+
+def test_lines_that_neighbouring_articles_share(spark):
+    """A line in the articles of three neighbours is template; one that two articles have in common is text; near copies tell nothing."""
+    article = lambda *t: "<article>" + "".join(f"<p>{x}</p>" for x in t) + "</article>"
+    story = lambda i: [f"Story {i} begins.", f"Story {i} goes on.", f"Story {i} ends."]
+    rows = [(i, f"https://shared.example/{i:02d}", article("Read this in our app", *story(i), "Thanks for reading")) for i in range(8)]
+    quote = ["A quoted line."]
+    rows += [(20 + i, f"https://quotes.example/{i:02d}", article(*story(i), *(quote if i in (3, 4) else []))) for i in range(8)]
+    rows += [(40 + i, f"https://series.example/{i:02d}", article(*story(0), f"Version {i}")) for i in range(8)]
+    got = {r["page_id"]: r["text"].split("\n") for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[i] == story(i) for i in range(1, 7))  # pages at the ends have two neighbours
+    assert all(got[i] == ["Read this in our app", *story(i), "Thanks for reading"] for i in (0, 7))
+    assert all(got[20 + i] == story(i) + (quote if i in (3, 4) else []) for i in range(8))
+    assert all(got[40 + i] == [*story(0), f"Version {i}"] for i in range(8))
+
+
+def lcs_positions(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    out = set()
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.add(i)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_differencing_of_a_site_against_brute_force(spark):
+    """Sites of open blocks and articles with distinct lines, where an alignment is unique but for order."""
+    rng = random.Random(8)
+    rows = []
+    for host in range(3):
+        frame = [f"frame {host} {k}" for k in range(6)]
+        for i in range(25):
+            head, foot = [x for x in frame[:3] if rng.random() < 0.8], [x for x in frame[3:] if rng.random() < 0.8]
+            own = [f"line {host} {i} {k}" for k in range(rng.randint(1, 6))]
+            inner = "<article>" + "".join(f"<p>{x}</p>" for x in own) + "</article>" if i % 5 == 0 else "".join(f"<div>{x}</div>" for x in own)
+            rows.append((len(rows), f"http://h{host}.example/{rng.choice('abc')}/{i:02d}", "".join(f"<div>{x}</div>" for x in head) + inner + "".join(f"<div>{x}</div>" for x in foot)))
+    want = {}
+    for host in range(3):
+        site = sorted((r for r in rows if f"//h{host}." in r[1]), key=lambda r: r[1])
+        found = [html_text.blocks(r[2]) for r in site]
+        for n, r in enumerate(site):
+            votes, strong = Counter(), set()
+            for d in (-2, -1, 1, 2):
+                if 0 <= n + d < len(site):
+                    shared = lcs_positions([t for t, _ in found[n]], [t for t, _ in found[n + d]])
+                    articles = [i for i, (_, k) in enumerate(found[n]) if k == html_text.ARTICLE]
+                    same = len(shared & set(articles)) >= len(articles) * html_text.SAME_ARTICLE
+                    for i in shared:
+                        if found[n][i][1] == html_text.OPEN or not same:
+                            votes[i] += 1
+                            if len(shared) < len(found[n]) * html_text.COPY and found[n][i][1] == html_text.OPEN:
+                                strong.add(i)
+            want[r[0]] = "\n".join(html_text.main_blocks(found[n], strong | {i for i, v in votes.items() if v >= (html_text.ARTICLE_VOTES if found[n][i][1] == html_text.ARTICLE else 2)}))
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == want
+    assert sum("frame" in t for t in got.values()) < len(rows) / 4 and all("line" in t for t in got.values())
+
+
 def test_page_differencing(spark):
     body = lambda i: f"<div>Site of things</div><div>Top stories</div><div>Story {i} is here.</div><div>All rights reserved</div>"
     rows = [(i, f"https://www.h.example/news/{i:02d}?x=1", body(i)) for i in range(30)] + [(90, "http://other.example/x", body(90)), (91, None, body(91)), (92, "not a url", body(92))]

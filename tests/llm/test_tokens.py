@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from stripelake.llm import huffman, tokens
+from stripelake.llm import huffman, queries, tokens
 from stripelake.llm.packing import pack, pieces
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,9 +89,9 @@ def test_optimal_where_no_limit_binds():
     assert (huffman.code_lengths(c).astype(int) * c).sum() == cost
 
 
-def test_file_round_trip(docs, tok):
-    blocks, lengths, _ = huffman.write(docs, PATH)
-    got = huffman.read(blocks, lengths).orderBy("start").collect()
+def test_file_round_trip(spark, docs, tok):
+    path = huffman.write(docs, PATH)
+    got = huffman.read(spark, path).orderBy("start").collect()
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
     assert [g["id"] for g in got] == [r["doc_id"] for r in rows]
     at = 0
@@ -103,5 +103,23 @@ def test_file_round_trip(docs, tok):
 
 def test_empty_tables(none):
     assert pack(none, PATH).count() == 0
-    blocks, lengths, _ = huffman.write(none, PATH)
-    assert huffman.read(blocks, lengths).count() == 0
+    assert huffman.read(none.sparkSession, huffman.write(none, PATH)).count() == 0
+
+
+def test_files_decode_in_another_process(spark, tmp_path, tok):
+    """No state of the writer is needed: a fresh process reads the folder."""
+    import subprocess
+    import sys
+
+    texts = ["one two", "", "three"]
+    huffman.write(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, f"{tmp_path}/file")
+    script = f"""
+from stripelake.session import build
+from stripelake.llm import huffman, queries
+spark = build("local[1]", "reader", spark__ui__enabled="false")
+queries.table(spark, "/root/testdata/sf0.001", "region")
+print([(r["id"], r["n_tokens"], bytes(r["ids"]).hex()) for r in huffman.read(spark, "{tmp_path}/file").orderBy("start").collect()])
+"""
+    out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=queries.ROOT, timeout=300, check=True).stdout
+    want = [ids_of(tok, t) + [2] for t in texts]
+    assert eval(out.strip().splitlines()[-1]) == [(i, len(w), np.array(w, dtype="<u4").tobytes().hex()) for i, w in enumerate(want)]
