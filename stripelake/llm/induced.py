@@ -4,22 +4,22 @@ The strings of a group are aligned slices around one shared anchor.  Suffixes th
 further left are the present ones with a byte put before them, so their order is induced: popping the
 present suffixes in order and pushing each into the queue of its preceding byte sorts the next ones,
 and the longest common prefix of two neighbours in a queue is one more than the least value popped between
-them.  Groups that fit in memory are induced together, a column a round.  A group that does not goes through queues whose
-runs lie on disk: memory then holds a block of tuples and a value for each byte.
+them.  Groups that fit in memory are induced together, a column a round.  A group that does not is streamed to the folder that driver
+and executors share, and goes through queues whose runs lie there: memory then holds a block of tuples, a value for each byte,
+and of every slice one byte and the result.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow.fs as pafs
 
 #: Tuples of one group that are kept in memory; larger groups use queues on disk.
-IN_MEMORY = 50_000
-BLOCK = 50_000
+IN_MEMORY = 20_000
+BLOCK = 20_000
 
 
 def _least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -65,11 +65,32 @@ def repeated(text: np.ndarray, group: np.ndarray, left: int, depth: int) -> np.n
     return out.T
 
 
+class Spool:
+    """A folder of files on any store that pyarrow reaches, written and read by the task that makes it."""
+
+    def __init__(self, folder: str):
+        self.fs, base = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + folder)
+        self.folder = f"{base.rstrip('/')}/induced-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.folder)
+
+    def write(self, name: str):
+        return self.fs.open_output_stream(f"{self.folder}/{name}")
+
+    def read(self, name: str):
+        return self.fs.open_input_file(f"{self.folder}/{name}")
+
+    def delete(self, name: str) -> None:
+        self.fs.delete_file(f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        self.fs.delete_dir(self.folder)
+
+
 class DiskQueue:
     """A priority queue of (suffix, common prefix) tuples by byte, first in first out within a byte; runs lie in files."""
 
-    def __init__(self, folder: str):
-        self.folder = folder
+    def __init__(self, spool: Spool):
+        self.spool, self.mark = spool, uuid.uuid4().hex
         self.files: dict[int, object] = {}
         self.carry = np.full(256, -1, dtype=np.int32)  # least value popped since a byte's last push; -1: no push yet
 
@@ -94,46 +115,72 @@ class DiskQueue:
             run[:, 0], run[:, 1] = suffix[perm[h : t + 1]], new[h : t + 1]
             b = int(c[h])
             if b not in self.files:
-                self.files[b] = open(os.path.join(self.folder, f"{id(self):x}-{b}"), "w+b")
+                self.files[b] = self.spool.write(f"{self.mark}-{b}")
             self.files[b].write(run.tobytes())
 
     def pop(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All tuples in order, in blocks; the files go as they are read."""
-        for b in sorted(self.files):
-            f = self.files[b]
-            f.seek(0)
-            while data := f.read(8 * BLOCK):
-                run = np.frombuffer(data, dtype="<i4").reshape(-1, 2)
-                yield run[:, 0].astype(np.int64), run[:, 1].astype(np.int32)
+        for f in self.files.values():
             f.close()
-            os.unlink(f.name)
+        for b in sorted(self.files):
+            with self.spool.read(f"{self.mark}-{b}") as f:
+                while data := f.read(8 * BLOCK):
+                    run = np.frombuffer(data, dtype="<i4").reshape(-1, 2)
+                    yield run[:, 0].astype(np.int64), run[:, 1].astype(np.int32)
+            self.spool.delete(f"{self.mark}-{b}")
         self.files = {}
 
 
-def repeated_on_disk(text: np.ndarray, left: int, depth: int) -> np.ndarray:
-    """As repeated(), for one group, with queues on disk."""
-    m, width = text.shape
-    out = np.zeros((left + 1, m), dtype=bool)
-    folder = tempfile.mkdtemp(prefix="induced-")
-    try:
-        columns = np.memmap(os.path.join(folder, "text"), dtype=np.uint8, mode="w+", shape=(width, m))
-        for i in range(0, m, BLOCK):
-            columns[:, i : i + BLOCK] = text[i : i + BLOCK].T
-        queue = None
-        for t in range(width - 1, -1, -1):
-            source = ((np.arange(i, min(i + BLOCK, m)), np.zeros(min(i + BLOCK, m) - i, dtype=np.int32)) for i in range(0, m, BLOCK)) if queue is None else queue.pop()
-            after, column, held = DiskQueue(folder), columns[t], -1
-            for suffix, lcp in source:
-                if queue is not None and t + 1 <= left:
-                    held = _mark(out[t + 1], suffix, lcp, depth, held)
-                after.push(np.asarray(column[suffix]), suffix, lcp, depth)
-            queue = after
-        held = -1
-        for suffix, lcp in queue.pop():
-            held = _mark(out[0], suffix, lcp, depth, held)
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
-    return out.T
+class External:
+    """One group whose slices are streamed to disk, block by block with columns together, and then sorted there."""
+
+    def __init__(self, folder: str, left: int, depth: int):
+        self.spool, self.left, self.depth = Spool(folder), left, depth
+        self.blocks: list[int] = []
+        self.width = 0
+
+    def append(self, text: np.ndarray) -> None:
+        self.width = text.shape[1]
+        with self.spool.write(f"text-{len(self.blocks)}") as f:
+            f.write(np.ascontiguousarray(text.T).tobytes())
+        self.blocks.append(len(text))
+
+    def column(self, t: int) -> np.ndarray:
+        """Byte ``t`` of every slice."""
+        parts = []
+        for i, n in enumerate(self.blocks):
+            with self.spool.read(f"text-{i}") as f:
+                parts.append(np.frombuffer(f.read_at(n, t * n), dtype=np.uint8))
+        return np.concatenate(parts)
+
+    def repeated(self) -> np.ndarray:
+        """As repeated(), for this group; its files are gone afterwards."""
+        m, depth = sum(self.blocks), self.depth
+        out = np.zeros((self.left + 1, m), dtype=bool)
+        try:
+            queue = None
+            for t in range(self.width - 1, -1, -1):
+                source = ((np.arange(i, min(i + BLOCK, m)), np.zeros(min(i + BLOCK, m) - i, dtype=np.int32)) for i in range(0, m, BLOCK)) if queue is None else queue.pop()
+                after, column, held = DiskQueue(self.spool), self.column(t), -1
+                for suffix, lcp in source:
+                    if queue is not None and t + 1 <= self.left:
+                        held = _mark(out[t + 1], suffix, lcp, depth, held)
+                    after.push(column[suffix], suffix, lcp, depth)
+                queue = after
+            held = -1
+            for suffix, lcp in queue.pop():
+                held = _mark(out[0], suffix, lcp, depth, held)
+        finally:
+            self.spool.close()
+        return out.T
+
+
+def repeated_on_disk(text: np.ndarray, left: int, depth: int, folder: str) -> np.ndarray:
+    """As repeated(), for one group, with blocks and queues in ``folder``."""
+    group = External(folder, left, depth)
+    for i in range(0, len(text), BLOCK):
+        group.append(text[i : i + BLOCK])
+    return group.repeated()
 
 
 def _mark(row: np.ndarray, suffix: np.ndarray, lcp: np.ndarray, depth: int, held: int) -> int:

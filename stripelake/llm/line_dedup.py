@@ -16,13 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .filters import touched
 from .scratch import Table
 
 #: A name with more than 1/HOT of all rows is hot; there are fewer than HOT of them, whatever the data.
 HOT = 1024
-#: Bits of the filter that tells touched documents, in 32768-bit rows: its size, 4 MB, does not grow with the data.
-FILTER_ROWS = 1024
-_ROW_BITS = 32768
 
 
 def _own() -> Column:
@@ -112,21 +110,6 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.df
 
 
-def _touched(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` with ``touched``: true for every row whose key is among ``keys``, and for few others.
-
-    One bit a key in a filter of fixed size, which is broadcast.  A full filter lets more rows pass, none is lost.
-    """
-    bit = F.pmod(F.col("key"), F.lit(FILTER_ROWS * _ROW_BITS))
-    place = lambda c: (F.floor(c / _ROW_BITS).cast("int"), F.pmod(c, F.lit(_ROW_BITS)))
-    row, at = place(bit)
-    bits = keys.select(row.alias("filter_row"), at.alias("at")).groupBy("filter_row").agg(F.expr("bitmap_construct_agg(at)").alias("filter_bits"))
-    byte = F.ascii(F.decode(F.substring("filter_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
-    set_ = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
-    out = rows.withColumn("filter_row", row).join(F.broadcast(bits), "filter_row", "left")
-    return out.withColumn("touched", F.coalesce(set_, F.lit(False))).drop("filter_row", "filter_bits")
-
-
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_lines: int = 2, lone_bytes: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the lines of later copies taken out of the text, and (n_lines, n_removed, n_runs, longest_run).
 
@@ -143,7 +126,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # neutral names, so that no column can clash
     given, doc = F.col(names[text_col]), F.col(names[id_col]).cast("long")
     runs = repeated_runs(docs, id_col, text_col, min_lines=min_lines, lone_bytes=lone_bytes)
-    mine = _touched(docs.toDF(*names.values()).withColumn("key", F.xxhash64(doc, given.cast("string"))), runs.select("key"))
+    mine = touched(docs.toDF(*names.values()).withColumn("key", F.xxhash64(doc, given.cast("string"))), "key", runs)
     found = runs.select(F.col("doc").alias("run_doc"), F.col("key").alias("run_key"), "runs", "longest")
     same = F.col("key").eqNullSafe(F.col("run_key")) & doc.eqNullSafe(F.col("run_doc"))
     apart = mine.where("touched").hint("shuffle_merge").join(found, same, "left").drop("run_doc", "run_key")

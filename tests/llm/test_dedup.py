@@ -51,7 +51,7 @@ def test_estimate_is_near_the_truth():
 
 
 @pytest.mark.parametrize("size", [200, 40])
-@pytest.mark.parametrize("limits", [{}, {"in_memory": 3}, {"broadcast_keys": 0}, {"hot": 2}, {"hot": 1, "broadcast_keys": 0}])
+@pytest.mark.parametrize("limits", [{}, {"in_memory": 3}, {"hot": 2}, {"hot": 1}, {"hot": 10, "in_memory": 1}])
 def test_drop_repeats(docs, size, limits):
     rows = docs.select("doc_id", "text").collect()
     want = {}
@@ -66,7 +66,7 @@ def test_drop_repeats(docs, size, limits):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_induced_sorting(seed, monkeypatch):
+def test_induced_sorting(seed, monkeypatch, tmp_path):
     monkeypatch.setattr(induced, "BLOCK", 7)
     rng = np.random.RandomState(seed)
     left, depth = 6, 5
@@ -75,7 +75,7 @@ def test_induced_sorting(seed, monkeypatch):
     got = induced.repeated(text, group, left, depth)
     for g in range(3):
         rows = np.flatnonzero(group == g)
-        assert (induced.repeated_on_disk(text[rows], left, depth) == got[rows]).all() if len(rows) else True
+        assert (induced.repeated_on_disk(text[rows], left, depth, str(tmp_path)) == got[rows]).all() if len(rows) else True
         for i in rows:
             for c in range(left + 1):
                 same = [j for j in rows if j != i and (text[j, c : c + depth] == text[i, c : c + depth]).all()]
