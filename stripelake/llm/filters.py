@@ -58,3 +58,25 @@ def passes(filter_: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which signed keys have their bit set in a packed filter."""
     bit = keys % np.int64(len(filter_) * 8)
     return (filter_[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+
+
+def _dealt(rows: DataFrame, keys: DataFrame, by: str) -> tuple[DataFrame, DataFrame, str]:
+    """The rows under neutral column names with ``touched``, the distinct keys, and the neutral name of ``by``."""
+    mine = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
+    name = f"c{rows.columns.index(by)}"
+    named = keys.select(F.col(by).alias(name)).distinct().withColumn("filter_key", F.xxhash64(name))
+    return touched(mine.withColumn("filter_key", F.xxhash64(name)), "filter_key", named).drop("filter_key"), named.select(name), name
+
+
+def semi_join(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """The rows whose ``by`` is among ``keys``; only rows that may be are shuffled."""
+    mine, named, name = _dealt(rows, keys, by)
+    out = mine.where("touched").drop("touched").join(named, name, "left_semi")
+    return out.select(*[c for c in mine.columns if c != "touched"]).toDF(*rows.columns)
+
+
+def anti_join(rows: DataFrame, keys: DataFrame, by: str) -> DataFrame:
+    """The rows whose ``by`` is not among ``keys``; a null is among none.  Only rows that may be are shuffled."""
+    mine, named, name = _dealt(rows, keys, by)
+    rest, apart = mine.where("not touched").drop("touched"), mine.where("touched").drop("touched").join(named, name, "left_anti")
+    return rest.unionByName(apart.select(*rest.columns)).toDF(*rows.columns)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .batches import map_batches
 from .components import components
+from .filters import semi_join
 from .scratch import Table
 from .text_hash import U64, mix, shingle_sets
 
@@ -30,8 +31,6 @@ REGISTERS = 128
 BITS = 7
 MANTISSA = 10
 PROBES = 48
-#: Ids up to this number are broadcast to pick texts (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 #: Classes of one area or band bucket are compared in blocks of about this size, and of about so many shingles.
 BLOCK = 1024
 BLOCK_SHINGLES = 400_000
@@ -137,11 +136,8 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> Table:
-    """(id, s): the full shingle sets of the given documents.  Few ids are broadcast to pick the texts, more meet them in a shuffle."""
-    ids = ids.distinct()
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+    """(id, s): the full shingle sets of the given documents."""
+    source = semi_join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), Table(ids.distinct(), "asked").df, "id")
 
     def shingle(batch: pa.RecordBatch) -> dict:
         return {"id": batch.column(0), "s": [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist(), k)]}

@@ -18,7 +18,7 @@ def test_pipeline(spark, texts, tmp_path):
     rows += [(500, "12 34 !!", "en", None, 8), (501, None, None, None, None), rows[7]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     items = [(0, texts[40]), (1, None)]
-    for name in "score lang_pred n_removed n_lines _key key _id _text c0 c1 rep spans items id component_id kept".split():
+    for name in "touched filter_key filter_row score lang_pred n_removed n_lines _key key _id _text c0 c1 rep spans items id component_id kept".split():
         docs = docs.withColumn(name, F.lit("clash"))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
