@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripelake.llm.decontaminate import find_items
+from stripelake.llm.filters import anti_join
 from stripelake.llm.language import PENDING, identify, learn
 from stripelake.llm.line_dedup import drop_repeated_lines
 from stripelake.llm.near_dedup import near_groups
@@ -17,17 +18,13 @@ from stripelake.llm.packing import pack
 from stripelake.llm.queries import LONE_BYTES, table, tokenizer
 from stripelake.llm.scratch import Table
 
-#: Ids up to this number are broadcast (8 bytes each) to take documents out; more meet them in a shuffle.
-BROADCAST_IDS = 1_000_000
 #: A language is trusted from this score on.
 TRUST = 0.5
 
 
 def without(docs: DataFrame, ids: DataFrame, by: str = "doc_id") -> DataFrame:
     """The documents whose ``by`` is not among ``ids``; a null is among none."""
-    ids = Table(ids.select(by).distinct(), "taken-out").df
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, by, "left_anti").select(*docs.columns)
+    return anti_join(docs, Table(ids.select(by).distinct(), "taken-out").df, by)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
