@@ -24,6 +24,23 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+#: Pairs of different sets that meet in a shingle, and the components of those that reach the threshold.
+OP1_SQL = """
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT row, doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN generate_series(1, len(w) - 2)] END)) AS s FROM docs),
+classes AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM sets WHERE len(s) > 0 AND doc_id IS NOT NULL GROUP BY s),
+grams AS (SELECT rep, n, unnest(s) AS g FROM classes),
+shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS met, any_value(a.n) AS na, any_value(b.n) AS nb FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
+links AS (SELECT a, b FROM shared WHERE 100 * met >= 85 * (na + nb - met)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, l.b FROM reach r JOIN both_ways l ON r.other = l.a),
+least AS (SELECT node, min(other) AS component FROM reach GROUP BY node)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(component, rep, doc_id) END AS component_id,
+       coalesce(coalesce(component, rep, doc_id) = doc_id, true) AS kept
+FROM sets LEFT JOIN classes ON sets.s = classes.s LEFT JOIN least ON rep = node
+"""
+
+
 def tokenizer() -> str:
     import public_tokenizers
 
@@ -92,6 +109,22 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP6_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 9))) AS s FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, w[s:s + 9] AS win FROM starts),
+places AS (SELECT row, w, unnest(generate_series(1, len(w) - size + 1)) AS p, size FROM docs, (SELECT DISTINCT len(win) AS size FROM windows) WHERE len(w) >= size),
+found AS (SELECT row, p, size, item_id FROM (SELECT row, p, size, w[p:p + size - 1] AS win FROM places) JOIN windows USING (win)),
+words AS (SELECT row, count(DISTINCT q) AS n_hit FROM (SELECT row, unnest(generate_series(p, p + size - 1)) AS q FROM found) GROUP BY row),
+hits AS (SELECT row, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM found GROUP BY row)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (row) LEFT JOIN hits USING (row)
+"""
+
+
 def op7_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .huffman import read, write
 
@@ -128,4 +161,4 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_near_dedup": OP1_SQL, "op4_line_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL}

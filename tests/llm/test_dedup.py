@@ -134,13 +134,17 @@ def test_lone_lines_and_runs(docs):
     assert got == {i: (len(gone), "\n".join(x for p, x in enumerate(texts[i]) if p not in gone)) for i, gone in want.items()}
 
 
-def test_line_dedup_query(spark):
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op4_line_dedup", "op6_decontaminate"])
+def test_queries_against_sql(spark, name):
     import duckdb
 
     from stripelake.llm import queries
 
     con = duckdb.connect()
-    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
-    want = con.execute(queries.ORACLES["op4_line_dedup"]).fetchall()
-    got = [tuple(r) for r in queries.QUERIES["op4_line_dedup"](spark, "/root/testdata/sf0.01").collect()]
-    assert sorted(got) == sorted(want)
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    cur = con.execute(queries.ORACLES[name])
+    names, want = [d[0] for d in cur.description], cur.fetchall()
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r) for r in got.select(*names).collect()) == sorted(want)
