@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 
+def numbered(df: DataFrame, order: list) -> tuple[DataFrame, int]:
+    """``df`` with ``position``, the number of each row in the given order from 1, and the number of rows."""
+    spark = df.sparkSession
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_nth"))
+    sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    at, base = 0, {}
+    for p in sorted(sizes):
+        base[p] = at
+        at += sizes[p]
+    offsets = spark.createDataFrame(sorted(base.items()) or [(0, 0)], "_part int, _base long")
+    within = F.col("_nth") - F.shiftleft(F.col("_part").cast("long"), 33) + 1
+    return parts.join(F.broadcast(offsets), "_part").withColumn("position", within + F.col("_base")).drop("_part", "_nth", "_base"), at
+
+
 class Cursor:
     """Positions run from 1; before the first row it is 0, behind the last one more than their number.
 
@@ -14,17 +28,8 @@ class Cursor:
     """
 
     def __init__(self, df: DataFrame, order: list):
-        spark = df.sparkSession
-        parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_nth"))
-        sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-        at, base = 0, {}
-        for p in sorted(sizes):
-            base[p] = at
-            at += sizes[p]
-        self.size, self.position = at, 0
-        offsets = spark.createDataFrame(sorted(base.items()) or [(0, 0)], "_part int, _base long")
-        within = F.col("_nth") - F.shiftleft(F.col("_part").cast("long"), 33) + 1
-        self.rows = parts.join(F.broadcast(offsets), "_part").withColumn("position", within + F.col("_base")).drop("_part", "_nth", "_base")
+        self.rows, self.size = numbered(df, order)
+        self.position = 0
 
     def move(self, n: int) -> Cursor:
         self.position = min(max(self.position + n, 0), self.size + 1)

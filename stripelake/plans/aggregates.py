@@ -42,6 +42,14 @@ R.sql("grouping_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FRO
 R.sql("agg_percentile", "SELECT l_returnflag, percentile(l_quantity, 0.5) AS med, percentile(l_quantity, 0.9) AS p90 FROM {lineitem} GROUP BY l_returnflag", "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med, quantile_cont(l_quantity, 0.9) AS p90 FROM {lineitem} GROUP BY l_returnflag")
 
 
+@R.frame("agg_exact_integers", "SELECT l_returnflag, CAST(sum(l_orderkey * 4611686018427::HUGEINT) AS VARCHAR) AS s, round(avg(l_suppkey), 6) AS a FROM lineitem GROUP BY l_returnflag")
+def _(read, spark):
+    from ..functions.aggregates import exact_avg, exact_sum
+
+    rows = read("lineitem").withColumn("big", F.col("l_orderkey").cast("decimal(20,0)") * F.lit(4611686018427))
+    return rows.groupBy("l_returnflag").agg(exact_sum("big").cast("string").alias("s"), F.round(exact_avg("l_suppkey").cast("double"), 6).alias("a"))
+
+
 @R.frame("agg_user_defined", "SELECT c_mktsegment, round(sqrt(avg(c_acctbal * c_acctbal)), 6) AS rms FROM customer GROUP BY c_mktsegment")
 def _(read, spark):
     from ..functions.aggregates import root_mean_square

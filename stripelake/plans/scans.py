@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .registry import Registry
+from .storage import engine
 
 R = Registry()
 
@@ -30,7 +31,9 @@ def _(read, spark):
 
 @R.frame("scan_partition_pruned", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y FROM orders WHERE year(o_orderdate) = 1995")
 def _(read, spark):
-    return read("orders").select("o_orderkey", F.year("o_orderdate").alias("y")).where("y = 1995")
+    path = f"{engine(spark).store.root}/orders-by-year"
+    read("orders").select("o_orderkey", F.year("o_orderdate").alias("y")).repartition("y").write.partitionBy("y").parquet(path)
+    return spark.read.schema("o_orderkey long, y int").parquet(path).where("y = 1995")  # one of the folders
 
 
 @R.frame("scan_inheritance", "SELECT c_custkey AS key, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")

@@ -91,19 +91,19 @@ def _(read, spark):
     return t.read()
 
 
-@R.frame("dml_returning", f"SELECT o_orderkey * 10 AS k FROM {{orders}} WHERE o_custkey < 20")
+@R.frame("dml_returning", "SELECT o_orderkey * 10 AS k FROM {orders}")
 def _(read, spark):
     t = engine(spark).create_as("t", orders(read).limit(0))
-    return t.append(orders(read).where("o_custkey < 20")).select((F.col("o_orderkey") * 10).alias("k"))
+    return t.append(orders(read)).select((F.col("o_orderkey") * 10).alias("k"))
 
 
-@R.frame("dml_savepoints", f"{BASE} WHERE o_custkey < 30 UNION ALL {BASE} WHERE o_custkey BETWEEN 60 AND 70")
+@R.frame("dml_savepoints", f"{BASE} WHERE o_orderstatus = 'F' UNION ALL {BASE} WHERE o_orderstatus = 'P'")
 def _(read, spark):
-    t = engine(spark).create_as("t", orders(read).where("o_custkey < 30"))
+    t = engine(spark).create_as("t", orders(read).where("o_orderstatus = 'F'"))
     t.begin()
-    t.append(orders(read).where("o_custkey between 60 and 70"))
+    t.append(orders(read).where("o_orderstatus = 'P'"))
     s = t.savepoint()
-    t.delete("o_custkey < 65")
+    t.delete("o_totalprice < 100000")
     t.rollback(s)
     t.commit()
     t.begin()
@@ -162,12 +162,12 @@ def _(read, spark):
     return e.convert("t", "columnar").read()
 
 
-@R.frame("ddl_create_like", f"{BASE} WHERE o_custkey < 10")
+@R.frame("ddl_create_like", BASE)
 def _(read, spark):
     e = engine(spark)
     e.create_as("t", orders(read).limit(0), compression="lz4")
     t = e.like("u", "t")
-    t.append(orders(read).where("o_custkey < 10"))
+    t.append(orders(read))
     return t.read()
 
 
@@ -250,3 +250,31 @@ def _(read, spark):
     from ..operators.policy import Policy
 
     return Policy(read("nation").withColumn("owner", F.when(F.col("n_regionkey") == 1, F.current_user()).otherwise(F.lit("nobody else"))), "owner = current_user()").read().select("n_name")
+
+
+@R.frame("scan_index_ordered", f"{BASE} WHERE o_totalprice IS NOT NULL ORDER BY o_totalprice, o_orderkey LIMIT 20")
+def _(read, spark):
+    t = engine(spark).create_as("t", orders(read).orderBy("o_totalprice"), stripe_row_limit=20_000, chunk_group_row_limit=1_000)
+    return t.first("o_totalprice", 20)
+
+
+@R.frame("join_chunk_filter", "SELECT o_orderkey, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000")
+def _(read, spark):
+    t = engine(spark).create_as("t", orders(read).orderBy("o_custkey"))
+    some = read("customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").select("c_custkey", "c_name")
+    return t.within("o_custkey", some, "c_custkey").join(some, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_name")
+
+
+@R.frame("join_columnar_with_row", "SELECT c_mktsegment, count(*) AS n FROM {orders} JOIN {customer} ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def _(read, spark):
+    e = engine(spark)
+    columnar = e.create_as("orders", orders(read))
+    row = e.create_as("customer", read("customer").select("c_custkey", "c_mktsegment"), method="heap")
+    return columnar.read().join(row.read(), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@R.frame("sequence_assign", "SELECT o_orderkey, 100 + 5 * (row_number() OVER (ORDER BY o_orderkey) - 1) AS id FROM {orders}")
+def _(read, spark):
+    from ..functions.sequences import Sequence
+
+    return Sequence(100, 5).assign(orders(read).select("o_orderkey"), ["o_orderkey"], "id").select("o_orderkey", "id")

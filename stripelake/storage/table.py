@@ -264,7 +264,38 @@ class Table:
 
     def fetch(self, file: str, row: int) -> DataFrame:
         """The row with the given id."""
-        return self.read(row_ids=True).where((F.col(ROW[0]) == file) & (F.col(ROW[1]) == row)).drop(*ROW)
+        held = [f for f in self.manifest["files"] if f["path"].rsplit("/", 1)[-1] == file.rsplit("/", 1)[-1]]
+        return self._read(self.manifest, held, row_ids=True, masks=self.engine.dml).where((F.col(ROW[0]) == file) & (F.col(ROW[1]) == row)).drop(*ROW)
+
+    def first(self, column: str, k: int) -> DataFrame:
+        """The k rows least by ``column`` (nulls left out), in order, from the chunk groups that can hold them.
+
+        Footers give each chunk group's greatest value.  The groups with the least of these hold k live rows below some value, so groups
+        that start above it are skipped.
+        """
+        kind = self.schema[column].dataType
+        rows = self.read().where(F.col(column).isNotNull())
+        wanted = k + sum(f["dead"] for f in self.manifest["files"])
+        chunks = self._footers().where(F.col("column") == column).select(F.col("high").try_cast(kind).alias("high"), (F.col("rows") - F.coalesce("nulls", F.lit(0))).alias("n")).where("n > 0")
+        if not chunks.where("high is null").limit(1).count():
+            met = 0
+            for r in chunks.orderBy("high").limit(wanted).toLocalIterator():  # a group has a row at least
+                met += r["n"]
+                if met >= wanted:
+                    rows = rows.where(F.col(column) <= F.lit(r["high"]))
+                    break
+        return rows.orderBy(column).limit(k)
+
+    def within(self, column: str, other: DataFrame, other_column: str | None = None) -> DataFrame:
+        """The rows whose ``column`` lies between the least and the greatest value of a join's other side.
+
+        The range is pushed to the scan, so a join with a narrow side skips chunk groups that cannot match.
+        """
+        c = other_column or column
+        bounds = other.agg(F.min(c).alias("low"), F.max(c).alias("high")).first()
+        if bounds["low"] is None:
+            return self.read().limit(0)
+        return self.read().where(F.col(column).between(F.lit(bounds["low"]), F.lit(bounds["high"])))
 
     def sample(self, *_):
         raise TableError("sample scans are not supported")
