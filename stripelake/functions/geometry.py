@@ -33,3 +33,8 @@ def circles_overlap(a: Column, b: Column) -> Column:
 
 def area(c: Column) -> Column:
     return F.pi() * c["r"] * c["r"]
+
+
+def at_least(a: Column, b: Column) -> Column:
+    """Circles are ordered by area."""
+    return area(a) >= area(b)

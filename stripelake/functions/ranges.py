@@ -38,3 +38,8 @@ def equal(a: Column, b: Column) -> Column:
 def sort_key(r: Column) -> Column:
     """Orders empty ranges first, then by lower and upper bound, infinite ones outermost."""
     return F.struct((~is_empty(r)).alias("a"), r["lo"].isNotNull().alias("b"), r["lo"].alias("c"), (~r["lo_inc"]).alias("d"), r["hi"].isNull().alias("e"), r["hi"].alias("f"), r["hi_inc"].alias("g"))
+
+
+def key(r: Column) -> Column:
+    """A key that equal ranges share, null for empty ones: join with ``key(a).eqNullSafe(key(b))``, which Spark hashes or sorts."""
+    return F.when(~is_empty(r), r)

@@ -66,3 +66,12 @@ def _(read, spark):
     left = read("lineitem").select("l_orderkey").repartition(parts, "l_orderkey")
     right = read("orders").select("o_orderkey", "o_orderpriority").repartition(parts, "o_orderkey")
     return left.hint("merge").join(right, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@R.frame("join_range_keys", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM {nation} a JOIN {nation} b ON (a.n_regionkey >= a.n_nationkey % 7 AND b.n_nationkey % 5 >= b.n_regionkey * 2) OR (a.n_regionkey < a.n_nationkey % 7 AND b.n_nationkey % 5 < b.n_regionkey * 2 AND a.n_regionkey = b.n_nationkey % 5 AND a.n_nationkey % 7 = b.n_regionkey * 2)")
+def _(read, spark):
+    from ..functions import ranges as r
+
+    a = read("nation").select(F.col("n_nationkey").alias("a"), r.key(r.make(F.col("n_regionkey"), F.col("n_nationkey") % 7)).alias("ra"))
+    b = read("nation").select(F.col("n_nationkey").alias("b"), r.key(r.make(F.col("n_nationkey") % 5, F.col("n_regionkey") * 2)).alias("rb"))
+    return a.join(b, F.col("ra").eqNullSafe(F.col("rb"))).select("a", "b")

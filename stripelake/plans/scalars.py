@@ -87,3 +87,21 @@ def _(read, spark):
 @R.frame("scalar_variant", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _(read, spark):
     return read("events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "string").alias("k"))
+
+
+@R.frame("scalar_to_char", "SELECT c_custkey, CASE WHEN x < 0 THEN '-' ELSE '' END || CASE WHEN abs(x) >= 1000 THEN '###' ELSE lpad(CAST(abs(x) AS VARCHAR), 3, '0') END AS t FROM (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS x FROM customer)")
+def _(read, spark):
+    from ..functions.formats import zero_padded
+
+    return read("customer").select("c_custkey", zero_padded(F.floor("c_acctbal"), 3).alias("t"))
+
+
+@R.frame("scalar_boxes", "SELECT count(*) FILTER (WHERE least(s_suppkey % 10, 5) <= 7 AND greatest(s_suppkey % 10, 5) >= 3 AND least(s_nationkey, 9) <= 7 AND greatest(s_nationkey, 9) >= 3) AS boxes, count(*) FILTER (WHERE s_suppkey % 10 >= 4) AS circles FROM supplier")
+def _(read, spark):
+    from ..functions import geometry as g
+
+    lit = F.lit
+    mine = g.box(g.point(F.col("s_suppkey") % 10, F.col("s_nationkey")), g.point(lit(5), lit(9)))
+    fixed = g.box(g.point(lit(3), lit(3)), g.point(lit(7), lit(7)))
+    larger = g.at_least(g.circle(lit(0), lit(0), F.col("s_suppkey") % 10), g.circle(lit(1), lit(1), lit(4)))
+    return read("supplier").agg(F.count_if(g.boxes_overlap(mine, fixed)).alias("boxes"), F.count_if(larger).alias("circles"))

@@ -34,10 +34,10 @@ def orders(read):
 BASE = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM {orders}"
 
 
-@R.frame("dml_insert_select", f"{BASE} UNION ALL {BASE} WHERE o_custkey < 100")
+@R.frame("dml_insert_select", f"{BASE} UNION ALL {BASE} WHERE o_orderstatus = 'P'")
 def _(read, spark):
     t = engine(spark).create_as("t", orders(read))
-    t.append(t.read().where("o_custkey < 100"))  # a table can be read while it is appended to
+    t.append(t.read().where("o_orderstatus = 'P'"))  # a table can be read while it is appended to
     return t.read()
 
 
@@ -83,11 +83,11 @@ def _(read, spark):
     return t.read()
 
 
-@R.frame("dml_truncate", f"{BASE} WHERE o_custkey < 50")
+@R.frame("dml_truncate", BASE)
 def _(read, spark):
     t = engine(spark).create_as("t", orders(read))
     t.truncate()
-    t.append(orders(read).where("o_custkey < 50"))
+    t.append(orders(read))
     return t.read()
 
 
@@ -278,3 +278,46 @@ def _(read, spark):
     from ..functions.sequences import Sequence
 
     return Sequence(100, 5).assign(orders(read).select("o_orderkey"), ["o_orderkey"], "id").select("o_orderkey", "id")
+
+
+@R.frame("dml_update_returning", "SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM {orders} WHERE o_orderstatus = 'P'")
+def _(read, spark):
+    t = engine(spark).create_as("t", orders(read))
+    return t.update_returning({"o_totalprice": "o_totalprice * 2"}, "o_orderstatus = 'P'").select("o_orderkey", "o_totalprice")
+
+
+@R.frame("dml_move_rows", f"SELECT 'kept' AS place, * FROM ({BASE} WHERE o_orderstatus <> 'F') UNION ALL SELECT 'moved', * FROM ({BASE} WHERE o_orderstatus = 'F')")
+def _(read, spark):
+    e = engine(spark)
+    t, archive = e.create_as("t", orders(read)), e.create_as("archive", orders(read).limit(0))
+    archive.append(t.delete_returning("o_orderstatus = 'F'"))
+    place = lambda df, name: df.select(F.lit(name).alias("place"), "*")
+    return place(t.read(), "kept").unionByName(place(archive.read(), "moved"))
+
+
+@R.frame("trigger_transition_tables", "SELECT 'update' AS op, count(*) AS n, CAST(round(sum(o_totalprice)) AS BIGINT) AS gained FROM {orders} WHERE o_orderstatus = 'P' UNION ALL SELECT 'delete', count(*), CAST(round(-sum(o_totalprice)) AS BIGINT) FROM {orders} WHERE o_orderstatus = 'F'")
+def _(read, spark):
+    from ..operators.triggers import Triggers
+
+    e = engine(spark)
+    t, log = Triggers(e.create_as("t", orders(read))), e.create("log", "op string, n long, gained long")
+
+    def audit(op, old, new=None):
+        signed = old.select((-F.col("o_totalprice")).alias("x"), F.lit(1).alias("one"))
+        if new is not None:
+            signed = signed.unionByName(new.select(F.col("o_totalprice").alias("x"), F.lit(0).alias("one")))
+        log.append(signed.agg(F.lit(op).alias("op"), F.sum("one").alias("n"), F.round(F.sum("x")).cast("long").alias("gained")))
+
+    t.on("after", lambda old, new: audit("update", old, new), of="update")
+    t.on("after", lambda old: audit("delete", old), of="delete")
+    t.update({"o_totalprice": "o_totalprice * 2"}, "o_orderstatus = 'P'")
+    t.delete("o_orderstatus = 'F'")
+    return log.read()
+
+
+@R.frame("policy_on_table", f"SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_totalprice END AS o_totalprice FROM {{orders}}")
+def _(read, spark):
+    t = engine(spark).create_as("t", orders(read))
+    t.add_policy("open_ones", "o_orderstatus = 'P' and current_user() is not null")
+    t.update({"o_totalprice": "0"})  # reaches visible rows alone
+    return t.read(policies=False)

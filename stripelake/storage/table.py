@@ -229,15 +229,26 @@ class Table:
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(c["name"], T._parse_datatype_string(c["type"]), c["nullable"]) for c in self.manifest["columns"]])
 
-    def read(self, *, row_ids: bool = False, masks: bool = True) -> DataFrame:
-        """The rows of this version.  row_ids adds the columns ``_file`` and ``_row``; masks=False also shows deleted rows."""
+    def read(self, *, row_ids: bool = False, masks: bool = True, policies: bool = True) -> DataFrame:
+        """The rows of this version.  row_ids adds the columns ``_file`` and ``_row``; masks=False also shows deleted rows, policies=False
+        those that the table's policies hide."""
         df = self._read(self.manifest, row_ids=row_ids, masks=masks and self.engine.dml)
+        df = self._visible(df, self.manifest) if policies else df
         return df.cache() if self.engine.cache else df
 
     def read_locked(self, condition: Column | str = "true") -> DataFrame:
         """Rows for a later change.  Versions never conflict with readers and a lost race shows at commit, so no lock is taken."""
         return self.read().where(condition)
 
+    def _policy(self, m: dict) -> Column | None:
+        """Whether one of the table's policies lets a row through; None where it has none."""
+        using = m.get("policies", {}).values()
+        return F.coalesce(F.expr(" or ".join(f"({u})" for u in using)), F.lit(False)) if using else None
+
+    def _visible(self, df: DataFrame, m: dict) -> DataFrame:
+        allowed = self._policy(m)
+        return df if allowed is None else df.where(allowed)
+
     def _read(self, m: dict, files: list[dict] | None = None, *, row_ids: bool = False, masks: bool = True) -> DataFrame:
         files = m["files"] if files is None else files
         columns = m["columns"]
@@ -265,7 +276,8 @@ class Table:
     def fetch(self, file: str, row: int) -> DataFrame:
         """The row with the given id."""
         held = [f for f in self.manifest["files"] if f["path"].rsplit("/", 1)[-1] == file.rsplit("/", 1)[-1]]
-        return self._read(self.manifest, held, row_ids=True, masks=self.engine.dml).where((F.col(ROW[0]) == file) & (F.col(ROW[1]) == row)).drop(*ROW)
+        found = self._read(self.manifest, held, row_ids=True, masks=self.engine.dml).where((F.col(ROW[0]) == file) & (F.col(ROW[1]) == row))
+        return self._visible(found, self.manifest).drop(*ROW)
 
     def first(self, column: str, k: int) -> DataFrame:
         """The k rows least by ``column`` (nulls left out), in order, from the chunk groups that can hold them.
@@ -302,8 +314,8 @@ class Table:
 
     # -- writing
 
-    def _write(self, df: DataFrame, m: dict) -> None:
-        """Appends rows as stripes to the draft ``m``, after checking the constraints."""
+    def _write(self, df: DataFrame, m: dict, *, policies: bool = False) -> None:
+        """Appends rows as stripes to the draft ``m``, after checking the constraints and, if asked to, the policies."""
         df = self._conform(df, m)
         options = m["options"]
         folder = self.store.at(self.name, "data", uuid.uuid4().hex)
@@ -323,15 +335,35 @@ class Table:
         added = [{"path": path, "rows": n, "bytes": sizes[named[path.rsplit("/", 1)[1]]], "dead": 0, "epoch": m["epoch"]} for path, n in sorted(counts.items())]
         new = self._read(m, added)
         problem = self._broken(new, m)
+        allowed = self._policy(m) if policies else None
+        if not problem and allowed is not None and new.where(~allowed).limit(1).count():
+            problem = f"{self.name}: a row breaks the table's policies"
+        problem = problem or next((f"{self.name}: duplicate key ({', '.join(keys)})" for keys in m["unique"] if self._repeats(new, m, keys)), None)
         if problem:
             self.store.delete(folder)
             raise TableError(problem)
         m["files"] = m["files"] + added
-        for keys in m["unique"]:
-            live = self._read(m).where(" and ".join(f"`{k}` is not null" for k in keys))
-            if live.groupBy(*keys).count().where("count > 1").limit(1).count():
-                self.store.delete(folder)
-                raise TableError(f"{self.name}: duplicate key ({', '.join(keys)})")
+
+    def _repeats(self, new: DataFrame, m: dict, keys: list[str]) -> bool:
+        """Whether a key of the new rows occurs twice, among them or in the draft, whose own keys are known to be unique.
+
+        The draft's files are read for their key columns alone, within the new keys' range, and are not grouped.
+        """
+        known = " and ".join(f"`{k}` is not null" for k in keys)
+        fresh = new.where(known).select(*keys)
+        if fresh.groupBy(*keys).count().where("count > 1").limit(1).count():
+            return True
+        if not m["files"]:
+            return False
+        held = self._read(m).where(known).select(*keys)
+        bounded = [k for k in keys if isinstance(new.schema[k].dataType, T.IntegralType | T.DateType | T.StringType)]
+        if bounded:
+            ends = fresh.agg(*[f(k).alias(f"{f.__name__}{i}") for i, k in enumerate(bounded) for f in (F.min, F.max)]).first()
+            if ends["min0"] is None:
+                return False
+            for i, k in enumerate(bounded):
+                held = held.where(F.col(k).between(F.lit(ends[f"min{i}"]), F.lit(ends[f"max{i}"])))
+        return held.join(fresh, keys, "left_semi").limit(1).count() > 0
 
     def _conform(self, df: DataFrame, m: dict) -> DataFrame:
         names = {c["name"] for c in m["columns"]}
@@ -353,7 +385,7 @@ class Table:
         """Appends rows (columns by name, missing ones get their defaults) and returns them; reading this table meanwhile is safe."""
         with self.change() as m:
             before = len(m["files"])
-            self._write(df, m)
+            self._write(df, m, policies=True)
         return self._read(self.manifest, self.manifest["files"][before:])
 
     def insert(self, rows: list[tuple], columns: list[str] | None = None) -> DataFrame:
@@ -376,17 +408,42 @@ class Table:
 
     def delete(self, condition: Column | str) -> int:
         with self.change() as m:
-            return self._mask(m, self._read(m, row_ids=True).where(condition))
+            return self._mask(m, self._visible(self._read(m, row_ids=True), m).where(condition))
 
-    def update(self, values: dict[str, Column | str], condition: Column | str = "true") -> int:
+    def update(self, values: dict[str, Column | str], condition: Column | str = "true", *, through: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """``through`` maps the new rows before they are written."""
         with self.change() as m:
-            hit = self._read(m, row_ids=True).where(condition)
+            hit = self._visible(self._read(m, row_ids=True), m).where(condition)
             new = hit.select(*[(F.expr(v) if isinstance(v, str) else v).alias(c) if (v := values.get(c)) is not None else F.col(c) for c in self.schema.names])
             n = self._mask(m, hit)
             if n:
-                self._write(new, m)
+                self._write(through(new) if through else new, m, policies=True)
             return n
 
+    def _gone_since(self, before: dict) -> DataFrame:
+        """The rows of the manifest ``before`` that later versions up to this one deleted, as they were."""
+        masks = [p for p in self.manifest["masks"] if p not in before["masks"]]
+        rows = self._read(before, row_ids=True)
+        if not masks:
+            return rows.limit(0).drop(*ROW)
+        return rows.join(self.spark.read.schema("_file string, _row long").parquet(*masks), list(ROW), "left_semi").drop(*ROW)
+
+    def _new_since(self, before: dict) -> DataFrame:
+        held = {f["path"] for f in before["files"]}
+        return self._read(self.manifest, [f for f in self.manifest["files"] if f["path"] not in held])
+
+    def delete_returning(self, condition: Column | str) -> DataFrame:
+        """Deletes, and returns the deleted rows as they were."""
+        before = self.manifest
+        self.delete(condition)
+        return self._gone_since(before)
+
+    def update_returning(self, values: dict[str, Column | str], condition: Column | str = "true") -> DataFrame:
+        """Updates, and returns the changed rows as they are now."""
+        before = self.manifest
+        self.update(values, condition)
+        return self._new_since(before)
+
     def upsert(self, source: DataFrame, keys: list[str], values: dict[str, str] | None = None) -> tuple[int, int]:
         """INSERT ... ON CONFLICT (keys): DO UPDATE SET values (SQL over the columns t.* of the table and s.* of the source), or, without
         values, DO NOTHING.  Keys must be a unique constraint.  Returns (updated, inserted)."""
@@ -402,11 +459,14 @@ class Table:
             changed = None
             if values:
                 hit = t.join(s, on)
+                allowed = self._policy(m)
+                if allowed is not None and t.join(s.select(*keys), keys, "left_semi").where(~allowed).limit(1).count():
+                    raise TableError(f"{self.name}: a policy hides a row that would change")
                 changed = hit.select(*[(F.expr(values[c]) if c in values else F.col(f"t.{c}")).alias(c) for c in self.schema.names])
                 updated = self._mask(m, hit.select(*[f"t.{c}" for c in ROW]))
             rows = fresh.select(*self.schema.names)
             total_before = sum(f["rows"] for f in m["files"])
-            self._write(rows.unionByName(changed) if updated else rows, m)
+            self._write(rows.unionByName(changed) if updated else rows, m, policies=True)
             return updated, sum(f["rows"] for f in m["files"]) - total_before - updated
 
     def truncate(self) -> None:
@@ -473,6 +533,18 @@ class Table:
             if problem := self._broken(self._read(m), m):
                 raise TableError(problem)
 
+    def add_policy(self, name: str, using: str) -> None:
+        """From now on only rows that a policy's SQL condition holds for are shown, changed or written; several policies add up."""
+        with self.change() as m:
+            self._read(m).where(using)  # the condition must be valid
+            m["policies"] = m.get("policies", {}) | {name: using}
+
+    def drop_policy(self, name: str) -> None:
+        with self.change() as m:
+            if name not in m.get("policies", {}):
+                raise TableError(f"no policy {name}")
+            m["policies"] = {n: u for n, u in m["policies"].items() if n != name}
+
     def add_unique(self, keys: list[str]) -> None:
         with self.change() as m:
             if self._read(m).where(" and ".join(f"`{k}` is not null" for k in keys)).groupBy(*keys).count().where("count > 1").limit(1).count():
