@@ -8,7 +8,8 @@ the byte alone, and is tabulated once for every n-gram of the corpus; scoring is
 
 Sums run in three steps: tasks tally n-grams of their texts, Spark adds the tallies, and the subtrees below three
 nearest context bytes are made by themselves; shorter contexts are put together from those, level by level.
-A model beyond ``BROADCAST_KEYS`` entries is looked up part by part, in as many passes over the texts, with the same results.
+A model beyond ``BROADCAST_KEYS`` entries is looked up part by part, in as many passes over the texts, with the same results;
+a pass looks up either n-grams of its part alone or words.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ORDER = 5
 BROADCAST_KEYS = 8_000_000
 #: About so many n-grams make a task of the trees.
 DEALT = 100_000
-_indexes: dict[str, tuple] = {}
+_indexes: dict[str, dict] = {}
 _HALF = 2 * math.lgamma(0.5)
 
 
@@ -230,6 +231,16 @@ def code_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return dealt.groupBy("deal").cogroup(near.groupBy("to")).applyInArrow(code, "key long, score double")
 
 
+def part_of(key, parts: int):
+    """The part, 0 to parts - 1, that an n-gram is looked up in: of a numpy array of unsigned keys, or of a column of the same bits."""
+    low, high = 1_640_531_527, 1_299_709  # odd multipliers; the sum stays below 2**62
+    if isinstance(key, np.ndarray):
+        mixed = (key & np.uint64(0xFFFFFF)) * np.uint64(low) + (key >> np.uint64(24)) * np.uint64(high)
+        return (mixed >> np.uint64(16)) % np.uint64(parts)
+    mixed = key.bitwiseAND(0xFFFFFF) * F.lit(low).cast("long") + F.shiftrightunsigned(key, 24) * F.lit(high).cast("long")
+    return F.shiftrightunsigned(mixed, 16) % F.lit(parts)
+
+
 def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per document: (id_col, learn, n_bytes, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -251,47 +262,68 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
     log_of = lambda c: np.log10((np.asarray(c, dtype=np.float64) + 1) / (total + kinds + 1))
     codes = Table(code_table(counted.df.where("kind = 0").select("key", "trained"), order), "codes")
     trained_words = counted.df.where("kind = 1 and trained > 0").select("key", "trained")
-    passes = max(1, -(-(codes.df.count() + v_words) // max(1, broadcast_keys)))
-
-    def one_pass(texts: DataFrame, p: int) -> DataFrame:
-        """Sums over the n-grams and words of part ``p`` of the model: (id, learn, n_bytes, m, known, base, score)."""
-        mine = F.pmod(F.xxhash64("key"), F.lit(passes)) == p if passes > 1 else F.lit(True)
-        pairs = [codes.df.where(mine).select("key", F.col("score").cast("float").alias("x")).toArrow(), trained_words.where(mine).select("key", F.col("trained").alias("x")).toArrow()]
-        arrays = [c.to_numpy() for t in pairs for c in (t.column("key"), t.column("x"))]
-        del pairs
-        shared = spark.sparkContext.broadcast(arrays)
-        del arrays
+    n_codes, limit = codes.df.count(), max(1, broadcast_keys)
+    # What a pass looks up: (part, parts) of the n-grams and of the words; None leaves them to other passes.
+    if n_codes + v_words <= limit:
+        passes = [((0, 1), (0, 1))]
+    else:
+        of = lambda n: max(1, -(-n // limit))
+        passes = [((p, of(n_codes)), None) for p in range(of(n_codes))] + [(None, (p, of(v_words))) for p in range(of(v_words))]
+
+    def one_pass(texts: DataFrame, gram_part: tuple[int, int] | None, word_part: tuple[int, int] | None) -> DataFrame:
+        """Sums over the n-grams and words of a part of the model: (id, learn, n_bytes, m, known, base, score), zeros for what it leaves."""
+        loaded: dict[str, list[np.ndarray]] = {}
+        if gram_part:
+            t = codes.df.where(part_of(F.col("key"), gram_part[1]) == gram_part[0]).select("key", F.col("score").cast("float").alias("x")).toArrow()
+            loaded["grams"] = [t.column(c).to_numpy() for c in ("key", "x")]
+        if word_part:
+            t = trained_words.where(F.pmod(F.xxhash64("key"), F.lit(word_part[1])) == word_part[0]).select("key", F.col("trained").alias("x")).toArrow()
+            loaded["words"] = [t.column(c).to_numpy() for c in ("key", "x")]
+        shared = spark.sparkContext.broadcast(loaded)
+        del loaded, t
         mark = uuid.uuid4().hex
 
-        def score(batch: pa.RecordBatch) -> dict:
-            if mark not in _indexes:  # once for each worker process, which then keeps the latest model
-                gram_keys, value, word_keys, count = shared.value
-                _indexes.clear()
-                _indexes[mark] = HashIndex(gram_keys.view(np.uint64)), value, HashIndex(word_keys.view(np.uint64)), count
-            index, value, words_, count = _indexes[mark]
-            texts = [_bytes(t) for t in batch.column("text").to_pylist()]
+        def look_up(texts: list[bytes], index: HashIndex, value: np.ndarray) -> np.ndarray:
             buf, at = gram_buffer(texts, order, True)
-            found = index.find(grams(buf, order)[own_positions(at, order)])
-            each = np.where(found >= 0, value[found], 0).astype(np.float64) if len(value) else np.zeros(len(found))
+            keys = grams(buf, order)[own_positions(at, order)]
+            each = np.zeros(len(keys))
+            mine = np.flatnonzero(part_of(keys, gram_part[1]) == gram_part[0]) if gram_part[1] > 1 else slice(None)
+            if len(value):
+                found = index.find(keys[mine])
+                each[mine] = np.where(found >= 0, value[found], 0)
             n = np.diff(at) - order
-            by_text = np.add.reduceat(each, np.cumsum(n) - n)  # at least the end each
+            return np.add.reduceat(each, np.cumsum(n) - n)  # at least the end each
+
+        def count(texts: list[bytes], index: HashIndex, times: np.ndarray) -> tuple[np.ndarray, ...]:
             h, m = _word_hashes(texts)
-            got = words_.find(h)
+            got = index.find(h)
             known = got >= 0
-            logs = np.where(known, np.log10((np.where(known, count[got], 0) + 1) / (total + kinds + 1)), 0) if len(count) else np.zeros(len(h))
+            logs = np.where(known, np.log10((np.where(known, times[got], 0) + 1) / (total + kinds + 1)), 0) if len(times) else np.zeros(len(h))
             sums = np.concatenate(([0.0], np.cumsum(logs)))
             hits = np.concatenate(([0], np.cumsum(known)))
             upto = np.concatenate(([0], np.cumsum(m)))
-            return {"id": batch.column("id"), "learn": batch.column("learn"), "n_bytes": n, "m": m, "known": hits[upto[1:]] - hits[upto[:-1]], "base": sums[upto[1:]] - sums[upto[:-1]], "score": by_text}
+            return m, hits[upto[1:]] - hits[upto[:-1]], sums[upto[1:]] - sums[upto[:-1]]
+
+        def score(batch: pa.RecordBatch) -> dict:
+            if mark not in _indexes:  # once for each worker process, which then keeps the latest model
+                _indexes.clear()
+                _indexes[mark] = {kind: (HashIndex(keys.view(np.uint64)), x) for kind, (keys, x) in shared.value.items()}
+            model = _indexes[mark]
+            texts = [_bytes(t) for t in batch.column("text").to_pylist()]
+            zeros = np.zeros(len(texts), dtype=np.int64)
+            by_text = look_up(texts, *model["grams"]) if gram_part else zeros.astype(np.float64)
+            m, known, base = count(texts, *model["words"]) if word_part else (zeros, zeros, zeros.astype(np.float64))
+            n_bytes = np.array([len(t) + 1 for t in texts], dtype=np.int64)
+            return {"id": batch.column("id"), "learn": batch.column("learn"), "n_bytes": n_bytes, "m": m, "known": known, "base": base, "score": by_text}
 
         return map_batches(texts, "text", score, "id long, learn boolean, n_bytes long, m long, known long, base double, score double", limit=1 << 20)
 
-    if passes == 1:
-        sums = one_pass(rows, 0)
+    if len(passes) == 1:
+        sums = one_pass(rows, *passes[0])
     else:
         kept = Table(rows.withColumn("row", F.monotonically_increasing_id()), "texts")
         texts = kept.df.withColumn("id", F.col("row"))
-        parts = [Table(one_pass(texts.select("id", "text", "learn"), p), "pass") for p in range(passes)]
+        parts = [Table(one_pass(texts.select("id", "text", "learn"), *p), "pass") for p in passes]
         union = parts[0].df
         for t in parts[1:]:
             union = union.unionByName(t.df)
