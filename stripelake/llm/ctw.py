@@ -8,7 +8,8 @@ the byte alone, and is tabulated once for every n-gram of the corpus; scoring is
 
 Sums run in three steps: tasks tally n-grams of their texts, Spark adds the tallies, and the subtrees below three
 nearest context bytes are made by themselves; shorter contexts are put together from those, level by level.
-A model beyond ``BROADCAST_KEYS`` entries is looked up part by part, in as many passes over the texts, with the same results;
+Every n-gram that is looked up is in the model, so a minimal perfect hash and a 32-bit score stand for it: under 5 bytes, and no key.
+A model beyond ``BROADCAST_KEYS`` is looked up part by part, in as many passes over the texts, with the same results;
 a pass looks up either n-grams of its part alone or words.
 """
 
@@ -23,13 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import cut, map_batches, release
-from .grams import HashIndex, gram_buffer, grams, merge, own_positions, tally
+from .grams import HashIndex, PlacedIndex, gram_buffer, grams, merge, own_positions, place, tally
 from .scratch import Table
 from .text_hash import LOWER, SPACE_WORD, span_hashes, words
 
 ORDER = 5
-#: So many n-grams and words are looked up at once (16 bytes each at most); more take several passes over the texts.
+#: So many words (16 bytes each at most), or ``GRAMS_A_KEY`` times as many n-grams, are looked up at once; more take several passes over the texts.
 BROADCAST_KEYS = 8_000_000
+GRAMS_A_KEY = 3
 #: About so many n-grams make a task of the trees.
 DEALT = 100_000
 _indexes: dict[str, dict] = {}
@@ -168,16 +170,23 @@ def tallies(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("text", "learn").mapInArrow(by_bytes, "kind byte, key long, trained long, n long").groupBy("kind", "key").agg(F.sum("trained").alias("trained"), F.sum("n").alias("n"))
 
 
-def code_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, score): log10 of the probability of each n-gram's last byte after its context; counts has (key, trained).
+def deal_of(key, order: int, deals: int):
+    """The deal of an n-gram, by its (at most three) nearest context bytes: of a numpy array of unsigned keys, or of a column of the same bits."""
+    shift = 8 * (order - min(3, order) + 1)
+    if isinstance(key, np.ndarray):
+        return ((key >> np.uint64(shift)) * np.uint64(1_640_531_527) >> np.uint64(16)) % np.uint64(deals)  # below 2**55
+    return F.shiftrightunsigned(F.shiftrightunsigned(key, shift) * F.lit(1_640_531_527).cast("long"), 16) % F.lit(deals)
+
+
+def code_table(counts: DataFrame, deals: int, order: int = ORDER) -> DataFrame:
+    """log10 of the probability of each n-gram's last byte after its context; counts has (key, trained).
 
+    One row a deal: (deal, n, sizes, bits, scores).  sizes and bits are those of ``place``, scores its n-grams' 32-bit floats by place.
     N-grams are dealt by their three nearest context bytes, so no task holds more than those of one such context: 256**3 at order 5.
     """
     spark = counts.sparkSession
     deep = min(3, order)
-    n = counts.count()
-    context = F.shiftrightunsigned("key", 8 * (order - deep + 1))  # the nearest context bytes
-    dealt = counts.select("key", "trained", F.pmod(F.xxhash64(context), F.lit(max(8, -(-n // DEALT)))).alias("deal"))
+    dealt = counts.select("key", "trained", deal_of(F.col("key"), order, deals).alias("deal"))
 
     def below(unit, t):
         gram, n = t.column("key").to_numpy().view(np.uint64), t.column("trained").to_numpy()
@@ -220,25 +229,18 @@ def code_table(counts: DataFrame, order: int = ORDER) -> DataFrame:
             order_ = np.argsort(two.column("key").to_numpy().view(np.uint64))
             at, n0, n1, sums = two.column("key").to_numpy().view(np.uint64)[order_], *(two.column(c).to_numpy()[order_] for c in ("n0", "n1", "below"))
             levels.append(_Level(at, n0, n1, kt(n0, n1) - sums))
-        return pa.table({"key": t.column("key"), "score": pa.array(_bits(gram, levels + list(shared.value), order))})
+        sizes, bits, by_place = place(gram)
+        scores = _bits(gram, levels + list(shared.value), order)[by_place].astype("<f4")
+        return pa.table({"deal": pa.array([unit[0].as_py()], pa.int64()), "n": pa.array([len(gram)], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": pa.array([bits.tobytes()], pa.binary()), "scores": pa.array([scores.tobytes()], pa.binary())})
 
+    placed = "deal long, n long, sizes array<long>, bits binary, scores binary"
     if middle is None:
-        return dealt.groupBy("deal").applyInArrow(lambda unit, t: code(unit, t), "key long, score double")
+        return dealt.groupBy("deal").applyInArrow(lambda unit, t: code(unit, t), placed)
     # Each deal gets the two-byte nodes that its contexts end in.
     pair = F.shiftrightunsigned("key", 8 * (order - 1))
     wanted = dealt.select("deal", pair.alias("pair")).distinct()
     near = middle.withColumn("pair", F.shiftrightunsigned("key", 8)).join(wanted, "pair").select(F.col("deal").alias("to"), "key", "n0", "n1", "below")
-    return dealt.groupBy("deal").cogroup(near.groupBy("to")).applyInArrow(code, "key long, score double")
-
-
-def part_of(key, parts: int):
-    """The part, 0 to parts - 1, that an n-gram is looked up in: of a numpy array of unsigned keys, or of a column of the same bits."""
-    low, high = 1_640_531_527, 1_299_709  # odd multipliers; the sum stays below 2**62
-    if isinstance(key, np.ndarray):
-        mixed = (key & np.uint64(0xFFFFFF)) * np.uint64(low) + (key >> np.uint64(24)) * np.uint64(high)
-        return (mixed >> np.uint64(16)) % np.uint64(parts)
-    mixed = key.bitwiseAND(0xFFFFFF) * F.lit(low).cast("long") + F.shiftrightunsigned(key, 24) * F.lit(high).cast("long")
-    return F.shiftrightunsigned(mixed, 16) % F.lit(parts)
+    return dealt.groupBy("deal").cogroup(near.groupBy("to")).applyInArrow(code, placed)
 
 
 def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -260,37 +262,42 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
     n_words, v_words = got["n"] or 0, got["v"]
     total, kinds = n_words + ends, v_words + (ends > 0)
     log_of = lambda c: np.log10((np.asarray(c, dtype=np.float64) + 1) / (total + kinds + 1))
-    codes = Table(code_table(counted.df.where("kind = 0").select("key", "trained"), order), "codes")
+    n_codes = counted.df.where("kind = 0").count()
+    deals = max(8, -(-n_codes // DEALT))
+    codes = Table(code_table(counted.df.where("kind = 0").select("key", "trained"), deals, order), "codes", "none")
     trained_words = counted.df.where("kind = 1 and trained > 0").select("key", "trained")
-    n_codes, limit = codes.df.count(), max(1, broadcast_keys)
-    # What a pass looks up: (part, parts) of the n-grams and of the words; None leaves them to other passes.
-    if n_codes + v_words <= limit:
+    # What a pass looks up: (part, parts) of the deals of n-grams and of the words; None leaves them to other passes.
+    limit = max(1, broadcast_keys)
+    if -(-n_codes // GRAMS_A_KEY) + v_words <= limit:
         passes = [((0, 1), (0, 1))]
     else:
-        of = lambda n: max(1, -(-n // limit))
-        passes = [((p, of(n_codes)), None) for p in range(of(n_codes))] + [(None, (p, of(v_words))) for p in range(of(v_words))]
+        by_grams, by_words = max(1, min(deals, -(-n_codes // (GRAMS_A_KEY * limit)))), max(1, -(-v_words // limit))
+        passes = [((p, by_grams), None) for p in range(by_grams)] + [(None, (p, by_words)) for p in range(by_words)]
 
     def one_pass(texts: DataFrame, gram_part: tuple[int, int] | None, word_part: tuple[int, int] | None) -> DataFrame:
         """Sums over the n-grams and words of a part of the model: (id, learn, n_bytes, m, known, base, score), zeros for what it leaves."""
-        loaded: dict[str, list[np.ndarray]] = {}
+        loaded: dict[str, tuple] = {}
         if gram_part:
-            t = codes.df.where(part_of(F.col("key"), gram_part[1]) == gram_part[0]).select("key", F.col("score").cast("float").alias("x")).toArrow()
-            loaded["grams"] = [t.column(c).to_numpy() for c in ("key", "x")]
+            t = codes.df.where(F.col("deal") % gram_part[1] == gram_part[0]).select("deal", "sizes", "bits", "scores").toArrow()
+            table = np.zeros(deals, dtype=np.int32)
+            table[t.column("deal").to_numpy()] = np.arange(t.num_rows)  # a deal without n-grams is never asked for
+            whole = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for x in t.column(c)), dtype=kind)
+            loaded["grams"] = table, t.column("sizes").to_pylist(), whole("bits", "<u8"), whole("scores", "<f4")
         if word_part:
             t = trained_words.where(F.pmod(F.xxhash64("key"), F.lit(word_part[1])) == word_part[0]).select("key", F.col("trained").alias("x")).toArrow()
-            loaded["words"] = [t.column(c).to_numpy() for c in ("key", "x")]
+            loaded["words"] = tuple(t.column(c).to_numpy() for c in ("key", "x"))
         shared = spark.sparkContext.broadcast(loaded)
         del loaded, t
         mark = uuid.uuid4().hex
 
-        def look_up(texts: list[bytes], index: HashIndex, value: np.ndarray) -> np.ndarray:
+        def look_up(texts: list[bytes], index: PlacedIndex, table: np.ndarray, value: np.ndarray) -> np.ndarray:
             buf, at = gram_buffer(texts, order, True)
             keys = grams(buf, order)[own_positions(at, order)]
             each = np.zeros(len(keys))
-            mine = np.flatnonzero(part_of(keys, gram_part[1]) == gram_part[0]) if gram_part[1] > 1 else slice(None)
+            deal = deal_of(keys, order, deals)
+            mine = np.flatnonzero(deal % np.uint64(gram_part[1]) == gram_part[0]) if gram_part[1] > 1 else slice(None)
             if len(value):
-                found = index.find(keys[mine])
-                each[mine] = np.where(found >= 0, value[found], 0)
+                each[mine] = value[index.find(keys[mine], table[deal[mine]])]
             n = np.diff(at) - order
             return np.add.reduceat(each, np.cumsum(n) - n)  # at least the end each
 
@@ -307,7 +314,13 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
         def score(batch: pa.RecordBatch) -> dict:
             if mark not in _indexes:  # once for each worker process, which then keeps the latest model
                 _indexes.clear()
-                _indexes[mark] = {kind: (HashIndex(keys.view(np.uint64)), x) for kind, (keys, x) in shared.value.items()}
+                _indexes[mark] = model = {}
+                if gram_part:
+                    table, sizes, bits, value = shared.value["grams"]
+                    model["grams"] = PlacedIndex(sizes, bits), table, value
+                if word_part:
+                    keys, times = shared.value["words"]
+                    model["words"] = HashIndex(keys.view(np.uint64)), times
             model = _indexes[mark]
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             zeros = np.zeros(len(texts), dtype=np.int64)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .text_hash import mix
+
 #: Stands before each text and, as the end symbol, behind it; no UTF-8 text holds this byte.
 EDGE = 0xFF
 
@@ -94,3 +96,59 @@ class HashIndex:
             go = (got >= 0) & (self.keys[got] != q[open_])
             open_, at = open_[go], at[go]
         return out
+
+
+def _spot(h: np.ndarray, level: int, slots: np.ndarray | np.uint64) -> np.ndarray:
+    """Places below ``slots`` (less than 2**32) for mixed keys, another one at each level."""
+    with np.errstate(over="ignore"):
+        return ((h * (mix(np.full(1, level, dtype=np.uint64), 1) | np.uint64(1))) >> np.uint64(32)) * slots >> np.uint64(32)
+
+
+def place(keys: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """A minimal perfect hash of distinct keys: 64-bit words of each level, the bits of all levels, and the keys' order by place.
+
+    A level has two slots for each key that is left.  Keys alone in their slot stay there and set its bit, the others go on to the next level.
+    """
+    h, left = mix(keys), np.arange(len(keys))
+    sizes: list[int] = []
+    bits, order = [np.zeros(0, dtype=np.uint64)], [left[:0]]
+    while len(left):
+        n = -(-2 * len(left) // 64)
+        at = _spot(h[left], len(sizes), np.uint64(64 * n)).astype(np.int64)
+        alone = np.bincount(at, minlength=64 * n) == 1
+        bits.append(np.packbits(alone, bitorder="little").view("<u8"))
+        stays = alone[at]
+        order.append(left[stays][np.argsort(at[stays])])
+        left = left[~stays]
+        sizes.append(n)
+    return sizes, np.concatenate(bits), np.concatenate(order)
+
+
+class PlacedIndex:
+    """Several tables of ``place`` end to end.  find() gives the place of keys of theirs; a key that no table has gets any place, or -1."""
+
+    def __init__(self, sizes: list[list[int]], bits: np.ndarray):
+        self.size = np.zeros((max(map(len, sizes), default=0), len(sizes)), dtype=np.uint64)
+        for t, s in enumerate(sizes):
+            self.size[: len(s), t] = s
+        ends = np.cumsum(self.size.T.ravel(), dtype=np.uint64).reshape(self.size.T.shape).T
+        self.start = ends - self.size
+        self.bits = np.append(bits, np.uint64(0))  # a place behind the last, for keys of no table
+        self.before = np.cumsum(np.bitwise_count(self.bits), dtype=np.int64) - np.bitwise_count(self.bits)
+
+    def find(self, q: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """``table`` tells for each key which of the tables has it."""
+        out = np.full(len(q), -1, dtype=np.int64)
+        h, left = mix(q), np.arange(len(q))
+        for level, (start, size) in enumerate(zip(self.start, self.size)):
+            at = _spot(h, level, size[table] << np.uint64(6))
+            word, bit = start[table] + (at >> np.uint64(6)), at & np.uint64(63)
+            got = self.bits[word]
+            hit = (got >> bit) & np.uint64(1) == 1
+            lower = got[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[left[hit]] = self.before[word[hit]] + np.bitwise_count(lower)
+            open_ = ~hit
+            h, left, table = h[open_], left[open_], table[open_]
+            if not len(left):
+                break
+        return out

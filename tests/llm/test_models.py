@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stripelake.llm import ctw, decontaminate, html_text
 from stripelake.llm.ann import kmeans, search, walk
-from stripelake.llm.grams import HashIndex
+from stripelake.llm.grams import HashIndex, PlacedIndex, place
 from stripelake.llm.language import PPM, identify, learn
 
 from . import brute
@@ -163,7 +163,7 @@ def slow_ctw(train, order):
     return code
 
 
-@pytest.mark.parametrize(("keys", "order"), [(10**9, 3), (20, 3), (10**9, 4), (10**9, 2), (10**9, 1)])
+@pytest.mark.parametrize(("keys", "order"), [(10**9, 3), (20, 3), (3, 3), (1, 2), (10**9, 4), (10**9, 2), (10**9, 1)])
 def test_ctw_scores(spark, keys, order):
     rows = [(1, "abab abba", True), (2, "ABBA b", True), (3, "abac é", False), (4, None, True), (5, "", False), (6, "zz", None), (None, "ab", True)]
     df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").withColumn("id", F.lit("clash")).withColumn("key", F.lit(1))
@@ -201,6 +201,20 @@ def test_lgamma():
     assert np.allclose(ctw.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
 
 
+def test_placed_index():
+    rng = np.random.default_rng(3)
+    tables = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 0, 64, 5000)] + [np.arange(300, dtype=np.uint64)]
+    made = [place(k) for k in tables]
+    index = PlacedIndex([m[0] for m in made], np.concatenate([m[1] for m in made]))
+    keys, table = np.concatenate(tables), np.repeat(np.arange(len(tables)), [len(k) for k in tables])
+    found = index.find(keys, table)
+    assert sorted(found) == list(range(len(keys)))
+    at = np.concatenate([k[m[2]] for k, m in zip(tables, made)])
+    assert (at[found] == keys).all()
+    stray = index.find(rng.integers(0, 2**63, 1000).astype(np.uint64), rng.integers(0, len(tables), 1000))
+    assert ((stray >= -1) & (stray < len(keys))).all()
+
+
 def test_hash_index():
     keys = np.unique(np.random.RandomState(0).randint(0, 2**62, 5000).astype(np.uint64))
     index = HashIndex(keys[::2])
