@@ -8,7 +8,7 @@ the byte alone, and is tabulated once for every n-gram of the corpus; scoring is
 
 Sums run in three steps: tasks tally n-grams of their texts, Spark adds the tallies, and the subtrees below three
 nearest context bytes are made by themselves; shorter contexts are put together from those, level by level.
-Every n-gram that is looked up is in the model, so a minimal perfect hash and a 32-bit score stand for it: under 5 bytes, and no key.
+Every n-gram and every word that is looked up is in the model, so a minimal perfect hash and a 32-bit score, or a byte for a count, stand for it, and no key.
 A model beyond ``BROADCAST_KEYS`` is looked up part by part, in as many passes over the texts, with the same results;
 a pass looks up either n-grams of its part alone or words.
 """
@@ -24,14 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import cut, map_batches, release
-from .grams import HashIndex, PlacedIndex, gram_buffer, grams, merge, own_positions, place, tally
+from .grams import PlacedIndex, gram_buffer, grams, merge, own_positions, place, tally
 from .scratch import Table
 from .text_hash import LOWER, SPACE_WORD, span_hashes, words
 
 ORDER = 5
-#: So many words (16 bytes each at most), or ``GRAMS_A_KEY`` times as many n-grams, are looked up at once; more take several passes over the texts.
+#: So many entries of 16 bytes are looked up at once, each worth ``GRAMS_A_KEY`` n-grams or ``WORDS_A_KEY`` words; more take several passes over the texts.
 BROADCAST_KEYS = 8_000_000
 GRAMS_A_KEY = 3
+WORDS_A_KEY = 8
+#: Counts from here on do not fit a byte.
+MANY = 255
+#: A row of a table of n-grams or words: what ``place`` gives, one value for each key by place, and what has no room there.
+PLACED = "deal long, n long, sizes array<long>, bits binary, scores binary, rest binary"
 #: About so many n-grams make a task of the trees.
 DEALT = 100_000
 _indexes: dict[str, dict] = {}
@@ -231,16 +236,38 @@ def code_table(counts: DataFrame, deals: int, order: int = ORDER) -> DataFrame:
             levels.append(_Level(at, n0, n1, kt(n0, n1) - sums))
         sizes, bits, by_place = place(gram)
         scores = _bits(gram, levels + list(shared.value), order)[by_place].astype("<f4")
-        return pa.table({"deal": pa.array([unit[0].as_py()], pa.int64()), "n": pa.array([len(gram)], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": pa.array([bits.tobytes()], pa.binary()), "scores": pa.array([scores.tobytes()], pa.binary())})
+        return _placed(unit, sizes, bits, scores, b"")
 
-    placed = "deal long, n long, sizes array<long>, bits binary, scores binary"
     if middle is None:
-        return dealt.groupBy("deal").applyInArrow(lambda unit, t: code(unit, t), placed)
+        return dealt.groupBy("deal").applyInArrow(lambda unit, t: code(unit, t), PLACED)
     # Each deal gets the two-byte nodes that its contexts end in.
     pair = F.shiftrightunsigned("key", 8 * (order - 1))
     wanted = dealt.select("deal", pair.alias("pair")).distinct()
     near = middle.withColumn("pair", F.shiftrightunsigned("key", 8)).join(wanted, "pair").select(F.col("deal").alias("to"), "key", "n0", "n1", "below")
-    return dealt.groupBy("deal").cogroup(near.groupBy("to")).applyInArrow(code, placed)
+    return dealt.groupBy("deal").cogroup(near.groupBy("to")).applyInArrow(code, PLACED)
+
+
+def _placed(unit: tuple, sizes: list[int], bits: np.ndarray, scores: np.ndarray, rest: bytes) -> pa.Table:
+    return pa.table({"deal": pa.array([unit[0].as_py()], pa.int64()), "n": pa.array([len(scores)], pa.int64()), "sizes": pa.array([sizes], pa.list_(pa.int64())), "bits": pa.array([bits.tobytes()], pa.binary()), "scores": pa.array([scores.tobytes()], pa.binary()), "rest": pa.array([rest], pa.binary())})
+
+
+def word_deal(key, deals: int):
+    """The deal of a word, by its hash: of a numpy array of unsigned keys, or of a column of the same bits."""
+    if isinstance(key, np.ndarray):
+        return (key >> np.uint64(16)) % np.uint64(deals)
+    return F.shiftrightunsigned(key, 16) % F.lit(deals)
+
+
+def word_table(counts: DataFrame, deals: int) -> DataFrame:
+    """How often words occur in training, 0 included; counts has (key, trained).  One row a deal: scores holds a byte for each word, ``MANY`` for
+    counts of that or more, which rest holds in the same order, in 64 bits."""
+
+    def code(unit, t):
+        sizes, bits, by_place = place(t.column("key").to_numpy().view(np.uint64))
+        times = t.column("trained").to_numpy()[by_place]
+        return _placed(unit, sizes, bits, np.minimum(times, MANY).astype(np.uint8), times[times >= MANY].astype("<i8").tobytes())
+
+    return counts.select("key", "trained", word_deal(F.col("key"), deals).alias("deal")).groupBy("deal").applyInArrow(code, PLACED)
 
 
 def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: str = "text", *, order: int = ORDER, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -265,47 +292,60 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
     n_codes = counted.df.where("kind = 0").count()
     deals = max(8, -(-n_codes // DEALT))
     codes = Table(code_table(counted.df.where("kind = 0").select("key", "trained"), deals, order), "codes", "none")
-    trained_words = counted.df.where("kind = 1 and trained > 0").select("key", "trained")
+    n_seen = counted.df.where("kind = 1").count()  # words of all texts
+    word_deals = max(8, -(-n_seen // DEALT))
+    counts = Table(word_table(counted.df.where("kind = 1").select("key", "trained"), word_deals), "words", "none")
     # What a pass looks up: (part, parts) of the deals of n-grams and of the words; None leaves them to other passes.
     limit = max(1, broadcast_keys)
-    if -(-n_codes // GRAMS_A_KEY) + v_words <= limit:
+    if -(-n_codes // GRAMS_A_KEY) - (-n_seen // WORDS_A_KEY) <= limit:
         passes = [((0, 1), (0, 1))]
     else:
-        by_grams, by_words = max(1, min(deals, -(-n_codes // (GRAMS_A_KEY * limit)))), max(1, -(-v_words // limit))
+        by_grams, by_words = max(1, min(deals, -(-n_codes // (GRAMS_A_KEY * limit)))), max(1, min(word_deals, -(-n_seen // (WORDS_A_KEY * limit))))
         passes = [((p, by_grams), None) for p in range(by_grams)] + [(None, (p, by_words)) for p in range(by_words)]
 
     def one_pass(texts: DataFrame, gram_part: tuple[int, int] | None, word_part: tuple[int, int] | None) -> DataFrame:
         """Sums over the n-grams and words of a part of the model: (id, learn, n_bytes, m, known, base, score), zeros for what it leaves."""
-        loaded: dict[str, tuple] = {}
-        if gram_part:
-            t = codes.df.where(F.col("deal") % gram_part[1] == gram_part[0]).select("deal", "sizes", "bits", "scores").toArrow()
+        def load(placed: Table, deals: int, part: tuple[int, int], kind: str) -> tuple:
+            t = placed.df.where(F.col("deal") % part[1] == part[0]).drop("n").toArrow()
             table = np.zeros(deals, dtype=np.int32)
-            table[t.column("deal").to_numpy()] = np.arange(t.num_rows)  # a deal without n-grams is never asked for
+            table[t.column("deal").to_numpy()] = np.arange(t.num_rows)  # a deal without keys is never asked for
             whole = lambda c, kind: np.frombuffer(b"".join(x.as_buffer() for x in t.column(c)), dtype=kind)
-            loaded["grams"] = table, t.column("sizes").to_pylist(), whole("bits", "<u8"), whole("scores", "<f4")
+            return table, t.column("sizes").to_pylist(), whole("bits", "<u8"), whole("scores", kind), whole("rest", "<i8")
+
+        loaded: dict[str, tuple] = {}
+        if gram_part:
+            loaded["grams"] = load(codes, deals, gram_part, "<f4")
         if word_part:
-            t = trained_words.where(F.pmod(F.xxhash64("key"), F.lit(word_part[1])) == word_part[0]).select("key", F.col("trained").alias("x")).toArrow()
-            loaded["words"] = tuple(t.column(c).to_numpy() for c in ("key", "x"))
+            loaded["words"] = load(counts, word_deals, word_part, "u1")
         shared = spark.sparkContext.broadcast(loaded)
-        del loaded, t
+        del loaded
         mark = uuid.uuid4().hex
 
+        def places(keys: np.ndarray, deal_at, part: tuple[int, int], index: PlacedIndex, table: np.ndarray) -> np.ndarray:
+            """The place of each key of the part, -1 for others."""
+            out = np.full(len(keys), -1, dtype=np.int64)
+            for lo in range(0, len(keys), index.PIECE):
+                piece = keys[lo : lo + index.PIECE]
+                deal = deal_at(piece).astype(np.int64)
+                mine = np.flatnonzero(deal % part[1] == part[0]) if part[1] > 1 else slice(None)
+                out[lo : lo + index.PIECE][mine] = index.find(piece[mine], table[deal[mine]])
+            return out
+
         def look_up(texts: list[bytes], index: PlacedIndex, table: np.ndarray, value: np.ndarray) -> np.ndarray:
             buf, at = gram_buffer(texts, order, True)
-            keys = grams(buf, order)[own_positions(at, order)]
-            each = np.zeros(len(keys))
-            deal = deal_of(keys, order, deals)
-            mine = np.flatnonzero(deal % np.uint64(gram_part[1]) == gram_part[0]) if gram_part[1] > 1 else slice(None)
-            if len(value):
-                each[mine] = value[index.find(keys[mine], table[deal[mine]])]
+            found = places(grams(buf, order)[own_positions(at, order)], lambda k: deal_of(k, order, deals), gram_part, index, table)
+            each = np.where(found >= 0, value[found], 0).astype(np.float64) if len(value) else np.zeros(len(found))
             n = np.diff(at) - order
             return np.add.reduceat(each, np.cumsum(n) - n)  # at least the end each
 
-        def count(texts: list[bytes], index: HashIndex, times: np.ndarray) -> tuple[np.ndarray, ...]:
+        def count(texts: list[bytes], index: PlacedIndex, table: np.ndarray, value: np.ndarray, many_at: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
             h, m = _word_hashes(texts)
-            got = index.find(h)
-            known = got >= 0
-            logs = np.where(known, np.log10((np.where(known, times[got], 0) + 1) / (total + kinds + 1)), 0) if len(times) else np.zeros(len(h))
+            found = places(h, lambda k: word_deal(k, word_deals), word_part, index, table)
+            times = np.where(found >= 0, value[found], 0).astype(np.int64) if len(value) else np.zeros(len(h), dtype=np.int64)
+            often = np.flatnonzero(times == MANY)
+            times[often] = many[np.searchsorted(many_at, found[often])]
+            known = times > 0
+            logs = np.where(known, np.log10((times + 1) / (total + kinds + 1)), 0)
             sums = np.concatenate(([0.0], np.cumsum(logs)))
             hits = np.concatenate(([0], np.cumsum(known)))
             upto = np.concatenate(([0], np.cumsum(m)))
@@ -316,11 +356,11 @@ def score_texts(docs: DataFrame, learn: str, id_col: str = "doc_id", text_col: s
                 _indexes.clear()
                 _indexes[mark] = model = {}
                 if gram_part:
-                    table, sizes, bits, value = shared.value["grams"]
+                    table, sizes, bits, value, _ = shared.value["grams"]
                     model["grams"] = PlacedIndex(sizes, bits), table, value
                 if word_part:
-                    keys, times = shared.value["words"]
-                    model["words"] = HashIndex(keys.view(np.uint64)), times
+                    table, sizes, bits, value, many = shared.value["words"]
+                    model["words"] = PlacedIndex(sizes, bits), table, value, np.flatnonzero(value == MANY), many
             model = _indexes[mark]
             texts = [_bytes(t) for t in batch.column("text").to_pylist()]
             zeros = np.zeros(len(texts), dtype=np.int64)

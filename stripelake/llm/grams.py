@@ -127,6 +127,9 @@ def place(keys: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
 class PlacedIndex:
     """Several tables of ``place`` end to end.  find() gives the place of keys of theirs; a key that no table has gets any place, or -1."""
 
+    #: Keys are looked up in pieces of this size, whose intermediate arrays stay in the processor's cache.
+    PIECE = 1 << 15
+
     def __init__(self, sizes: list[list[int]], bits: np.ndarray):
         self.size = np.zeros((max(map(len, sizes), default=0), len(sizes)), dtype=np.uint64)
         for t, s in enumerate(sizes):
@@ -138,6 +141,12 @@ class PlacedIndex:
 
     def find(self, q: np.ndarray, table: np.ndarray) -> np.ndarray:
         """``table`` tells for each key which of the tables has it."""
+        out = np.empty(len(q), dtype=np.int64)
+        for lo in range(0, len(q), self.PIECE):
+            out[lo : lo + self.PIECE] = self._find(q[lo : lo + self.PIECE], table[lo : lo + self.PIECE])
+        return out
+
+    def _find(self, q: np.ndarray, table: np.ndarray) -> np.ndarray:
         out = np.full(len(q), -1, dtype=np.int64)
         h, left = mix(q), np.arange(len(q))
         for level, (start, size) in enumerate(zip(self.start, self.size)):

@@ -181,6 +181,18 @@ def test_ctw_scores(spark, keys, order):
         assert (r["n_bytes"], r["n_tokens"], r["n_known"], r["train_tokens"], r["learn"]) == (len(whole) - order, len(tokens[i]), sum(c[t] > 0 for t in tokens[i]), total, bool(f))
 
 
+def test_ctw_counts_beyond_a_byte(spark):
+    rows = [(i, "aa " * n + f"w{i}", i % 3 > 0) for i, n in enumerate([100, 254, 1, 300, 0, 7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    c = Counter(t for _, x, f in rows if f for t in x.split() + [None])
+    total, kinds = sum(c.values()), len(c)
+    assert c["aa"] > ctw.MANY
+    for r in ctw.score_texts(df, "learn", order=1).collect():
+        tokens = rows[r["doc_id"]][1].split() + [None]
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[t] + 1) / (total + kinds + 1)) for t in tokens), rel=1e-9)
+        assert (r["n_tokens"], r["n_known"]) == (len(tokens), sum(c[t] > 0 for t in tokens))
+
+
 def test_samples_of_huge_tables_are_not_empty():
     from stripelake.llm import language
 
