@@ -18,6 +18,10 @@ from .batches import cut, release
 from .tokens import encode, with_end
 
 
+#: Bytes of text that are encoded at once: encoding takes some sixty times its text, and every core has a worker.
+SLICE = 256 << 10
+
+
 def pieces(n: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of document, start, length) of each piece, for documents of n ids each."""
     whole = n // max_len
@@ -49,7 +53,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
-        for batch in cut(batches, "text", 1 << 20):
+        for batch in cut(batches, "text", SLICE):
             ids, upto = with_end(*encode(batch.column("text").to_pylist(), tokenizer), end_id)
             n = np.diff(upto)
             doc, start, length = pieces(n, max_len)

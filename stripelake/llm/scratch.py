@@ -44,6 +44,16 @@ def drop(spark: SparkSession, *paths: str) -> None:
 ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ARROW_ROWS rows from now on, for a result that is not written here but by the caller.
+
+    A task's rows are one batch else, which the executor holds several times over beside its heap, and the worker once more.
+    """
+    key, most = ARROW_ROWS
+    if not 0 < int(spark.conf.get(key)) <= int(most):
+        spark.conf.set(key, most)
+
+
 class Table:
     """A written intermediate table."""
 

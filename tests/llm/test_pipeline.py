@@ -82,3 +82,36 @@ def test_documents_that_share_an_id_or_have_none(spark, tmp_path):
     out = cp.decontaminate(spark, docs, str(tmp_path))
     assert out.columns == docs.columns
     assert pairs(out) == sorted(((i, t) for i, t, _ in rows if t != leak), key=repr)
+
+
+def test_results_that_the_caller_writes_reach_workers_in_short_batches(spark, tmp_path, monkeypatch):
+    frame, rows = type(spark.range(0)), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    plain, before = frame.mapInArrow, spark.conf.get(rows)
+
+    def spied(self, fn, schema, *args, **more):
+        def seen(batches):
+            import uuid
+
+            def noted():
+                for b in batches:
+                    with open(f"{tmp_path}/{uuid.uuid4().hex}.seen", "w") as f:
+                        f.write(str(b.num_rows))
+                    yield b
+
+            yield from fn(noted())
+
+        return plain(self, seen, schema, *args, **more)
+
+    monkeypatch.setattr(frame, "mapInArrow", spied)
+    docs = spark.range(0, 2500, 1, 1).selectExpr("id as doc_id", "concat('some words ', id) as text", "'en' as lang", "'s' as source", "20L as n_chars")
+    cp.language_id.__globals__["table"](spark, "/root/testdata/sf0.001", "region")  # workers find the package
+    for name in ("language_id", "packing"):
+        spark.conf.set(rows, "10000")
+        try:
+            dict(cp.STAGES)[name](spark, docs, "").write.parquet(f"{tmp_path}/{name}")
+        finally:
+            spark.conf.set(rows, before)
+        sizes = [int(p.read_text()) for p in tmp_path.glob("*.seen")]
+        assert sum(sizes) == 2500 and max(sizes) <= 1000
+        for p in tmp_path.glob("*.seen"):
+            p.unlink()

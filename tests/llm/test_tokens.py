@@ -123,3 +123,34 @@ print([(r["id"], r["n_tokens"], bytes(r["ids"]).hex()) for r in huffman.read(spa
     out = subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, cwd=queries.ROOT, timeout=300, check=True).stdout
     want = [ids_of(tok, t) + [2] for t in texts]
     assert eval(out.strip().splitlines()[-1]) == [(i, len(w), np.array(w, dtype="<u4").tobytes().hex()) for i, w in enumerate(want)]
+
+
+def test_packing_takes_little_memory_at_once(spark, monkeypatch):
+    """A worker encodes a large batch in slices; arrays of all of its bytes at once would take over 60 MB."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from stripelake.llm import packing
+
+    taken = []
+    frame = type(spark.range(0))
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, fn, schema: taken.append(fn) or plain(self, fn, schema))
+    pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), PATH)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array([" ".join(rng.choices(vocab, k=800)) for _ in range(500)])], names=["id", "text"])
+    monkeypatch.setattr(tokens, "_caches", {})
+    from stripelake.llm import text_hash
+
+    monkeypatch.setattr(text_hash, "_cache", {})
+    for _ in taken[0](iter([batch.slice(0, 10)])):  # the cache's table is made
+        pass
+    tracemalloc.start()
+    n = sum(sum(out.column("length").to_pylist()) for out in taken[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n > 500 * 800 and peak < 45e6
