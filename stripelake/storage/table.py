@@ -10,6 +10,7 @@ delete writes no data; an update masks the old rows and appends the new ones.
 from __future__ import annotations
 
 import copy
+import functools
 import json
 import re
 import uuid
@@ -31,6 +32,10 @@ CODECS = {"none": "uncompressed", "lz4": "lz4_raw", "zstd": "zstd", "pglz": "sna
 FILL, DEAD = 0.5, 0.2
 
 ROW = ("_file", "_row")
+#: Deleted rows of so many neighbouring row numbers are one row of bits when a table is read.  Up to so many of these rows (about 50 MB) are broadcast; beyond, both sides are shuffled.
+SPAN, SENT = 1024, 100_000
+#: So many files are read by name; more by their folder, as Spark would start a task for each name to look it up.
+NAMED = 32
 
 
 class TableError(ValueError):
@@ -155,11 +160,15 @@ class Engine:
     def refresh(self, name: str) -> Table:
         t = self.table(name)
         with t.change() as m:
-            m["files"], m["masks"] = [], []
+            m["files"], m["masks"], m["spans"] = [], [], 0
             t._write(self.views[name](), m)
         return t
 
 
+def _folder(file: dict) -> str:
+    return file["path"].rsplit("/", 1)[0]
+
+
 class _Change:
     def __init__(self, table: Table):
         self.table = table
@@ -254,18 +263,18 @@ class Table:
         columns = m["columns"]
         physical = T.StructType([T.StructField(c["id"], T._parse_datatype_string(c["type"])) for c in columns])
         out = None
-        # Files of one epoch lack the same columns, and files with deletions alone need the anti-join.
+        # Files of one epoch lack the same columns, and folders with deletions alone need the anti-join.
         groups: dict[tuple[int, bool], list[dict]] = {}
+        hit = {_folder(f) for f in files if f["dead"]} if masks else set()
         for f in files:
-            groups.setdefault((f["epoch"], bool(f["dead"]) and masks), []).append(f)
+            groups.setdefault((f["epoch"], _folder(f) in hit), []).append(f)
         for (epoch, masked), group in sorted(groups.items()):
-            df = self.spark.read.schema(physical).parquet(*[f["path"] for f in group])
+            df = self._scan(physical, group)
             values = [(F.expr(c["default"]).cast(c["type"]) if c["since"] > epoch and c["default"] is not None else F.col(c["id"])).alias(c["name"]) for c in columns]
             if masked or row_ids:
                 df = df.select("*", F.col("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
             if masked:
-                dead = self.spark.read.schema("_file string, _row long").parquet(*m["masks"])
-                df = df.join(dead, list(ROW), "left_anti")
+                df = self._marked(df, m["masks"], m.get("spans"), "left_anti")
             df = df.select(*values, *(ROW if row_ids else ()))
             out = df if out is None else out.unionByName(df)
         if out is None:
@@ -273,6 +282,31 @@ class Table:
             out = self.spark.createDataFrame([], T.StructType([*self.schema, *extra]))
         return out
 
+    def _scan(self, physical: T.StructType, files: list[dict]) -> DataFrame:
+        """The files' rows.  Folders of many files are listed at once, and the files of them that do not count are skipped by their names."""
+        folders: dict[str, list[dict]] = {}
+        for f in files:
+            folders.setdefault(_folder(f), []).append(f)
+        reader = self.spark.read.schema(physical)
+        named = [f["path"] for held in folders.values() if len(held) <= NAMED and len(held) != held[0].get("of") for f in held]
+        whole = [d for d, held in folders.items() if len(held) == held[0].get("of")]
+        parts = [reader.parquet(*named, *whole)] if named or whole else []
+        for d, held in folders.items():
+            if len(held) > NAMED and len(held) != held[0].get("of"):
+                kept = {f["path"].rsplit("/", 1)[1] for f in held}
+                others = [n for p in reader.parquet(d).inputFiles() if (n := p.rsplit("/", 1)[1]) not in kept]
+                name = F.col("_metadata.file_name")
+                parts.append(reader.parquet(d).where(~name.isin(others) if len(others) < len(kept) else name.isin(sorted(kept))))
+        return functools.reduce(DataFrame.unionAll, parts)
+
+    def _marked(self, df: DataFrame, masks: list[str], spans: int | None, how: str) -> DataFrame:
+        """The rows of ``df``, which has row ids, that deletion vectors of at most ``spans`` spans mark (left_semi) or not (left_anti)."""
+        words = [F.expr(f"bit_or(if(_row % {SPAN} div 64 = {i}, shiftleft(1L, int(_row % 64)), 0L))") for i in range(SPAN // 64)]
+        dead = self.spark.read.schema("_file string, _row long").parquet(*masks)
+        dead = dead.groupBy(F.col(ROW[0]).alias("_in"), F.expr(f"_row div {SPAN}").alias("_span")).agg(F.array(*words).alias("_bits"))
+        on = f"_file = _in and _row div {SPAN} = _span and getbit(_bits[int(_row % {SPAN} div 64)], int(_row % 64)) = 1"
+        return df.join(dead.hint("broadcast" if spans is not None and spans <= SENT else "merge"), F.expr(on), how)
+
     def fetch(self, file: str, row: int) -> DataFrame:
         """The row with the given id."""
         held = [f for f in self.manifest["files"] if f["path"].rsplit("/", 1)[-1] == file.rsplit("/", 1)[-1]]
@@ -329,10 +363,8 @@ class Table:
         else:
             writer = writer.option("compression", "uncompressed")
         writer.parquet(folder)
-        sizes = {p: n for p, n in self.store.list(folder) if p.endswith(".parquet")}
-        counts = {r["f"]: r["n"] for r in self.spark.read.schema("x string").parquet(folder).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()} if sizes else {}
-        named = {p.rsplit("/", 1)[1]: p for p in sizes}
-        added = [{"path": path, "rows": n, "bytes": sizes[named[path.rsplit("/", 1)[1]]], "dead": 0, "epoch": m["epoch"]} for path, n in sorted(counts.items())]
+        written = self.spark.read.schema("x string").parquet(folder).groupBy("_metadata.file_path", "_metadata.file_size").agg(F.count("*").alias("n")).collect()
+        added = [{"path": path, "rows": n, "bytes": size, "dead": 0, "epoch": m["epoch"], "of": len(written)} for path, size, n in sorted(map(tuple, written))]
         new = self._read(m, added)
         problem = self._broken(new, m)
         allowed = self._policy(m) if policies else None
@@ -396,11 +428,14 @@ class Table:
     def _mask(self, m: dict, ids: DataFrame) -> int:
         """Adds the rows with the given ids to the draft's deletion vectors."""
         path = self.store.at(self.name, "masks", uuid.uuid4().hex)
-        ids.select(*ROW).distinct().write.parquet(path)
-        dead = {r[ROW[0]]: r["n"] for r in self.spark.read.schema("_file string, _row long").parquet(path).groupBy(ROW[0]).agg(F.count("*").alias("n")).collect()}
+        ids.select(*ROW).write.parquet(path)  # a row is met once: the table's rows are, and an upsert's source has a key once
+        rows = self.spark.read.schema("_file string, _row long").parquet(path).groupBy(ROW[0]).agg(F.count("*").alias("n"), F.max(ROW[1]).alias("last")).collect()
+        dead = {r[ROW[0]]: r["n"] for r in rows}
         if not dead:
             self.store.delete(path)
             return 0
+        spans = m.get("spans", None if m["masks"] else 0)  # tables of earlier releases have masks that were not counted
+        m["spans"] = None if spans is None else spans + sum(min(r["n"], r["last"] // SPAN + 1) for r in rows)
         m["masks"] = m["masks"] + [path]
         m["files"] = [f | {"dead": f["dead"] + dead.get(f["path"], 0)} for f in m["files"]]
         m["files"] = [f for f in m["files"] if f["dead"] < f["rows"]]
@@ -426,7 +461,7 @@ class Table:
         rows = self._read(before, row_ids=True)
         if not masks:
             return rows.limit(0).drop(*ROW)
-        return rows.join(self.spark.read.schema("_file string, _row long").parquet(*masks), list(ROW), "left_semi").drop(*ROW)
+        return self._marked(rows, masks, self.manifest.get("spans"), "left_semi").drop(*ROW)
 
     def _new_since(self, before: dict) -> DataFrame:
         held = {f["path"] for f in before["files"]}
@@ -471,7 +506,7 @@ class Table:
 
     def truncate(self) -> None:
         with self.change() as m:
-            m["files"], m["masks"], m["storage"] = [], [], uuid.uuid4().hex
+            m["files"], m["masks"], m["spans"], m["storage"] = [], [], 0, uuid.uuid4().hex
 
     # -- schema and options
 
@@ -605,7 +640,7 @@ class Table:
 
     def _rewrite_all(self, m: dict, rows: DataFrame | None = None) -> None:
         rows = self._read(copy.deepcopy(m)) if rows is None else rows
-        m["files"], m["masks"], m["storage"] = [], [], uuid.uuid4().hex
+        m["files"], m["masks"], m["spans"], m["storage"] = [], [], 0, uuid.uuid4().hex
         self._write(rows, m)
 
     def vacuum(self, stripe_count: int = 0) -> int:
