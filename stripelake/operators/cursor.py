@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+_kept: dict[str, object] = {}
+_stand_in: list[str] = []
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    """``df``, written once to the cluster's shared folder (where none is set, a temporary one) until the driver's process ends."""
+    spark = df.sparkSession
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not _stand_in:
+            _stand_in.append("file://" + tempfile.mkdtemp(prefix="stripelake-numbered-"))
+        shared = _stand_in[0]
+    path = f"{shared.rstrip('/')}/stripelake-numbered/{uuid.uuid4().hex}"
+    _kept[path] = spark
+    held = df.drop(*[c for c, kind in df.dtypes if kind == "void"])  # files have no such columns
+    held.write.option("compression", "zstd").parquet(path)
+    read = spark.read.schema(held.schema).parquet(path)
+    return read.select(*[F.col(f"`{c}`") if kind != "void" else F.lit(None).alias(c) for c, kind in df.dtypes])
+
+
+@atexit.register
+def _sweep() -> None:
+    for path, spark in list(_kept.items()):
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has gone before the process
+            return
+
 
 def numbered(df: DataFrame, order: list) -> tuple[DataFrame, int]:
-    """``df`` with ``position``, the number of each row in the given order from 1, and the number of rows."""
+    """``df`` with ``position``, the number of each row in the given order from 1, and the number of rows.
+
+    The sorted rows are written first: the bounds of range partitions come from a random sample, so a second run of the same plan may
+    deal rows to other partitions than those that were counted.
+    """
     spark = df.sparkSession
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_nth"))
+    parts = _keep(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_nth")))
     sizes = {r["_part"]: r["n"] for r in parts.groupBy("_part").agg(F.count("*").alias("n")).collect()}
     at, base = 0, {}
     for p in sorted(sizes):
