@@ -68,3 +68,16 @@ def test_updates_and_upserts_of_many_stripes(spark, table):
     assert table.upsert(spark.range(1, 80_002, 80_000).select(F.col("id").alias("k"), F.lit(-2).cast("long").alias("v")), ["k"], {"v": "s.v"}) == (1, 1)
     want = {k: -1 if k % 3 == 0 else k % 7 for k in range(1, 80_000, 2)} | {1: -2, 80_001: -2}
     assert {r["k"]: r["v"] for r in table.read().collect()} == want
+
+
+def test_update_starts_no_task_a_stripe(spark, table):
+    table.delete("k % 2 = 0")
+    spark.sparkContext.setJobGroup("updating", "")
+    try:
+        assert table.update({"v": "v + 10"}, "k % 3 = 0") == 13_333
+        table.read().count()
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("updating") for s in tracker.getJobInfo(j).stageIds]
+        assert stages and max(s.numTasks for s in stages if s) < 40
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
