@@ -36,6 +36,8 @@ ROW = ("_file", "_row")
 SPAN, SENT = 1024, 100_000
 #: So many files are read by name; more by their folder, as Spark would start a task for each name to look it up.
 NAMED = 32
+#: Rows of both sides that meet in one task where keys are compared.
+MEET = 200_000
 
 
 class TableError(ValueError):
@@ -169,6 +171,11 @@ def _folder(file: dict) -> str:
     return file["path"].rsplit("/", 1)[0]
 
 
+def _dealt(df: DataFrame, rows: int, keys: list[str]) -> DataFrame:
+    """``df`` dealt out by its keys to as many tasks as ``rows`` rows need, and never broadcast: the driver would hold every key."""
+    return df.repartition(max(1, -(-rows // MEET)), *keys).hint("merge")
+
+
 class _Change:
     def __init__(self, table: Table):
         self.table = table
@@ -370,20 +377,20 @@ class Table:
         allowed = self._policy(m) if policies else None
         if not problem and allowed is not None and new.where(~allowed).limit(1).count():
             problem = f"{self.name}: a row breaks the table's policies"
-        problem = problem or next((f"{self.name}: duplicate key ({', '.join(keys)})" for keys in m["unique"] if self._repeats(new, m, keys)), None)
+        problem = problem or next((f"{self.name}: duplicate key ({', '.join(keys)})" for keys in m["unique"] if self._repeats(new, sum(f["rows"] for f in added), m, keys)), None)
         if problem:
             self.store.delete(folder)
             raise TableError(problem)
         m["files"] = m["files"] + added
 
-    def _repeats(self, new: DataFrame, m: dict, keys: list[str]) -> bool:
-        """Whether a key of the new rows occurs twice, among them or in the draft, whose own keys are known to be unique.
+    def _repeats(self, new: DataFrame, rows: int, m: dict, keys: list[str]) -> bool:
+        """Whether a key of the ``rows`` new rows occurs twice, among them or in the draft, whose own keys are known to be unique.
 
         The draft's files are read for their key columns alone, within the new keys' range, and are not grouped.
         """
         known = " and ".join(f"`{k}` is not null" for k in keys)
         fresh = new.where(known).select(*keys)
-        if fresh.groupBy(*keys).count().where("count > 1").limit(1).count():
+        if _dealt(fresh, rows, keys).groupBy(*keys).count().where("count > 1").limit(1).count():
             return True
         if not m["files"]:
             return False
@@ -395,7 +402,8 @@ class Table:
                 return False
             for i, k in enumerate(bounded):
                 held = held.where(F.col(k).between(F.lit(ends[f"min{i}"]), F.lit(ends[f"max{i}"])))
-        return held.join(fresh, keys, "left_semi").limit(1).count() > 0
+        rows += sum(f["rows"] for f in m["files"])
+        return _dealt(held, rows, keys).join(_dealt(fresh, rows, keys), keys, "left_semi").limit(1).count() > 0
 
     def _conform(self, df: DataFrame, m: dict) -> DataFrame:
         names = {c["name"] for c in m["columns"]}
@@ -484,24 +492,25 @@ class Table:
         values, DO NOTHING.  Keys must be a unique constraint.  Returns (updated, inserted)."""
         if sorted(keys) not in [sorted(u) for u in self.manifest["unique"]]:
             raise TableError("no unique constraint matches the keys")
-        if source.groupBy(*keys).count().where("count > 1").limit(1).count() and values:
+        given = source.count()
+        if values and _dealt(source, given, keys).groupBy(*keys).count().where("count > 1").limit(1).count():
             raise TableError("the source would change a row twice")
         with self.change() as m:
-            t, s = self._read(m, row_ids=True).alias("t"), self._conform(source, m).dropDuplicates(keys).alias("s")
+            n = given + sum(f["rows"] for f in m["files"])
+            t, s = _dealt(self._read(m, row_ids=True), n, keys).alias("t"), _dealt(self._conform(source, m), n, keys).dropDuplicates(keys).hint("merge").alias("s")
             on = [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys]
-            fresh = s.join(t, on, "left_anti").select("s.*")
             updated = 0
-            changed = None
             if values:
-                hit = t.join(s, on)
                 allowed = self._policy(m)
                 if allowed is not None and t.join(s.select(*keys), keys, "left_semi").where(~allowed).limit(1).count():
                     raise TableError(f"{self.name}: a policy hides a row that would change")
-                changed = hit.select(*[(F.expr(values[c]) if c in values else F.col(f"t.{c}")).alias(c) for c in self.schema.names])
-                updated = self._mask(m, hit.select(*[f"t.{c}" for c in ROW]))
-            rows = fresh.select(*self.schema.names)
+                both, held = s.join(t, on, "left"), F.col(f"t.{ROW[0]}").isNotNull()
+                rows = both.select(*[F.when(held, (F.expr(values[f.name]) if f.name in values else F.col(f"t.{f.name}")).cast(f.dataType)).otherwise(F.col(f"s.{f.name}").cast(f.dataType)).alias(f.name) for f in self.schema])
+                updated = self._mask(m, both.where(held).select(*[f"t.{c}" for c in ROW]))
+            else:
+                rows = s.join(t, on, "left_anti").select(*self.schema.names)
             total_before = sum(f["rows"] for f in m["files"])
-            self._write(rows.unionByName(changed) if updated else rows, m, policies=True)
+            self._write(rows, m, policies=True)
             return updated, sum(f["rows"] for f in m["files"]) - total_before - updated
 
     def truncate(self) -> None:

@@ -81,3 +81,20 @@ def test_update_starts_no_task_a_stripe(spark, table):
         assert stages and max(s.numTasks for s in stages if s) < 40
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_upsert_deals_keys_by_rows_and_never_broadcasts_them(spark, tmp_path, monkeypatch):
+    from stripelake.storage import table as module
+
+    t = Engine(spark, f"file://{tmp_path}/lake").create("t", "k long, v string", unique=[["k"]])
+    t.append(spark.range(9_000).select(F.col("id").alias("k"), F.lit("old").alias("v")))
+    monkeypatch.setattr(module, "MEET", 1000)
+    write, plans = module.Table._write, []
+    monkeypatch.setattr(module.Table, "_write", lambda self, df, *a, **k: (plans.append(plan(df)), write(self, df, *a, **k))[1])
+    new = spark.range(8_000, 10_000).select(F.col("id").cast("int").alias("k"), F.lit("new").alias("v"))
+    assert t.upsert(new, ["k"], {"v": "concat(t.v, s.v)"}) == (1000, 1000)
+    assert t.upsert(new, ["k"]) == (0, 0)
+    assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans[:1]) and len(plans) == 2
+    assert "SortMergeJoin" in plans[1] and ", 11), REPARTITION_BY_NUM" in plans[0]
+    want = [(k, "old" if k < 8_000 else "oldnew" if k < 9_000 else "new") for k in range(10_000)]
+    assert sorted(map(tuple, t.read().collect())) == want
